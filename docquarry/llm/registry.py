@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import hilbert, mixture, packing, tokencount
+from docquarry.llm import hilbert, jaccard_join, mixture, packing, repetition, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_classes(table(spark, sf_dir, "documents"))
+
+
+def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.coverage(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -29,5 +37,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_mixture, op8_packing, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_mixture, op4_jaccard_join, op5_repetition, op8_packing, op9_token_counts)}
 ORACLES: dict[str, str] = {"op2_mixture": mixture.ORACLE}
