@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import hilbert, jaccard_join, mixture, packing, repetition, tokencount
+from docquarry.llm import chat, hilbert, jaccard_join, mixture, packing, repetition, tokencount
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.coverage(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_hostile(table(spark, sf_dir, "conversations")))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_mixture, op4_jaccard_join, op5_repetition, op8_packing, op9_token_counts)}
-ORACLES: dict[str, str] = {"op2_mixture": mixture.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_mixture, op4_jaccard_join, op5_repetition, op6_chat_format, op8_packing, op9_token_counts)}
+ORACLES: dict[str, str] = {"op2_mixture": mixture.ORACLE, "op6_chat_format": chat.ORACLE}
