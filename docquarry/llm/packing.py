@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
@@ -11,27 +12,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docquarry.llm.ranking import positions
-from docquarry.llm.tokens import Remembered, kept, slices, tokenizer
-from docquarry.runtime import ship
+from docquarry.llm.tokens import Remembered, as_letters, kept, tokenizer
+from docquarry.runtime import checkpointed, ship
 
 WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
+SPACES = " \t\n\x0b\x0c\r"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
-#: Characters tokenised at once.
-CHUNK = 4_000_000
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
+#: Words of these characters are normalised, split and looked up alike by Python and the tokenizer; others are left to it, as are its special strings.
+PLAIN = re.compile("[!-~¡-ÿ]+")
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def word_ids(name: str) -> Remembered:
     """Little-endian 32-bit ids of white-space separated words.
 
     The tokenizer drops white space, its patterns never match across it and its special strings hold none, so a
-    text's ids are its words' ids in order.
+    text's ids are its words' ids in order. A new word's parts go straight to the tokenizer's merges.
     """
+    import regex
+
+    whole = tokenizer(name)
+    merges, parts = whole.model, regex.compile(PARTS).findall
+
+    def part_ids(part: str) -> bytes:
+        return array("I", [t.id for t in merges.tokenize(as_letters(part))]).tobytes()
+
+    pieces = Remembered(part_ids)
 
-    def encode(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(name).encode_batch(words, add_special_tokens=False)]
+    def encode(word: str) -> bytes:
+        if PLAIN.fullmatch(word) and "<|" not in word:
+            pieces.rest()
+            return b"".join([pieces[p] for p in parts(word.lower())])
+        return array("I", whole.encode(word, add_special_tokens=False).ids).tobytes()
 
     return kept(f"word ids:{name}", lambda: Remembered(encode))
 
@@ -39,19 +56,18 @@ def word_ids(name: str) -> Remembered:
 def cut(batches: Iterable[pa.RecordBatch], name: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """A row per piece: full windows of a document's ids, then the rest. A document has its end id at least."""
     end = end_id.to_bytes(4, "little")
-    memory = word_ids(name)
+    ids_of = word_ids(name)
     for batch in batches:
-        docs, texts = batch.column(0), batch.column(1).to_pylist()
-        for lo, hi in slices((len(t or "") for t in texts), CHUNK):
-            words = [SPACE.split(t.strip(" \t\n\x0b\x0c\r")) if t else [] for t in texts[lo:hi]]
-            known = memory.lookup(w for ws in words for w in ws)
-            rows: list[tuple] = []
-            for k, ws in enumerate(words):
-                ids = b"".join([known[w] for w in ws]) + end
-                n = len(ids) // 4
-                rows += [(lo + k, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
+        rows: list[tuple] = []
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            ids_of.rest()
+            words = SPACE.split(text.strip(SPACES)) if text else []
+            ids = b"".join([ids_of[w] for w in words if w]) + end
+            n = len(ids) // 4
+            rows += [(k, s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
+        if rows:
             at, start, length, crc, total = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([docs.take(pa.array(at)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(crc), pa.array(total)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(crc), pa.array(total)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
 
 def fullest(counts: Mapping[int, int], room: int) -> dict[int, int]:
@@ -126,7 +142,7 @@ def pack(docs: DataFrame, name: str = TOKENIZER, window: int = WINDOW, end_id: i
     each piece its place. Null ids and repeated rows are packed as they come; an empty table gives no rows.
     """
     ship(docs.sparkSession)
-    pieces = docs.select("doc_id", "text").mapInArrow(lambda it: cut(it, name, window, end_id), PIECES)
+    pieces = checkpointed(docs.select("doc_id", "text").mapInArrow(lambda it: cut(it, name, window, end_id), PIECES))  # range partitioning reads its input twice
     ranked = positions(pieces, ["doc_id", "start", "ids_crc32"], ["length"])
     counts = {r[0]: r[1] for r in ranked.groupBy("length").count().collect()}
     table = slots(plan(counts, window))

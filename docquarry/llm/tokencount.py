@@ -8,13 +8,11 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docquarry.llm.tokens import Remembered, kept, slices, tokenizer
+from docquarry.llm.tokens import Remembered, as_letters, kept, tokenizer
 from docquarry.runtime import ship
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
-#: Characters counted at once.
-CHUNK = 4_000_000
 #: The tokenizer's own pre-token pattern, and the characters on whose classes all pattern libraries agree; a text with others, or with a special string, is left to the tokenizer.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER = "[^\\t\\n\\r -~¡-¬®-ɏ‐-‧‰-⁞₠-₿€]|<\\|"
@@ -22,25 +20,25 @@ OTHER = "[^\\t\\n\\r -~¡-¬®-ɏ‐-‧‰-⁞₠-₿€]|<\\|"
 
 def count_pieces(name: str) -> Remembered:
     """Pieces of a pre-token: counted once per distinct pre-token that a worker meets, within a bounded memory."""
-    return kept(f"pieces:{name}", lambda: Remembered(lambda parts: [len(e) for e in tokenizer(name).encode_batch_fast(parts, add_special_tokens=False)]))
+    merges = tokenizer(name).model
+    return kept(f"pieces:{name}", lambda: Remembered(lambda part: len(merges.tokenize(as_letters(part)))))
 
 
 def _count(batches: Iterable[pa.RecordBatch], name: str, limit: int) -> Iterator[pa.RecordBatch]:
     import regex
 
     split, other = regex.compile(PRETOKENS).findall, regex.compile(OTHER).search
-    memory = count_pieces(name)
+    whole, pieces = tokenizer(name), count_pieces(name)
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        n_tokens: list[int] = []
-        for lo, hi in slices((len(t or "") for t in texts), CHUNK):
-            part = [t or "" for t in texts[lo:hi]]
-            odd = [bool(other(t)) for t in part]
-            bags = [Counter(() if o else split(t)) for t, o in zip(part, odd, strict=True)]
-            known = memory.lookup(set().union(*bags))
-            whole = iter(tokenizer(name).encode_batch_fast([t for t, o in zip(part, odd, strict=True) if o], add_special_tokens=False))
-            n_tokens += [len(next(whole)) if o else sum(n * known[p] for p, n in bag.items()) for bag, o in zip(bags, odd, strict=True)]
-        n_bytes = [len((t or "").encode()) for t in texts]
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        n_tokens = []
+        for t in texts:
+            pieces.rest()
+            if other(t):
+                n_tokens.append(len(whole.encode(t, add_special_tokens=False)))
+            else:
+                n_tokens.append(sum([n * pieces[p] for p, n in Counter(split(t)).items()]))
+        n_bytes = [len(t.encode()) for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 

@@ -27,27 +27,38 @@ def tokenizer(name: str):
     return kept(f"tokenizer:{name}", lambda: Tokenizer.from_file(public_tokenizers.path(name)))
 
 
-class Remembered:
-    """A bounded map from strings to what encode gives for them; the older half goes when it is full."""
-
-    def __init__(self, encode: Callable[[list[str]], list], entries: int = CACHE_ENTRIES):
-        self.encode, self.entries, self.now, self.old = encode, entries, {}, {}
-
-    def lookup(self, keys: Iterable) -> dict:
-        """A dict that holds all of keys (and more)."""
-        keys = set(keys)
-        if len(self.now) + len(keys) > self.entries:
-            self.old, self.now = self.now, {}
-        missing = keys.difference(self.now)
-        old = self.old
-        if old:
-            found = missing.intersection(old)
-            self.now.update((k, old[k]) for k in found)
-            missing -= found
-        if missing:
-            new = list(missing)
-            self.now.update(zip(new, self.encode(new), strict=True))
-        return self.now
+class Remembered(dict):
+    """encode(key) for each key asked for, remembered; call rest() now and then to drop the older half of a full memory."""
+
+    def __init__(self, encode: Callable, entries: int = CACHE_ENTRIES):
+        super().__init__()
+        self.encode, self.entries, self.old = encode, entries, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.encode(key)
+        self[key] = value
+        return value
+
+    def rest(self) -> None:
+        if len(self) > self.entries:
+            self.old = dict(self)
+            self.clear()
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if it is printable Latin-1, else the next free one from U+0100."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+
+
+def as_letters(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_LETTERS)
 
 
 def slices(lengths: Iterable[int], most: int) -> Iterable[tuple[int, int]]:
