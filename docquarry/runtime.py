@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,9 +30,9 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in spark.checkpoint.dir; local sessions that set none get a folder."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; local sessions that set none get one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -39,9 +40,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = os.path.join(tempfile.gettempdir(), "checkpoints", "docquarry")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder: smaller than a checkpoint for wide rows."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Joins a checkpointed small side: broadcast if its row count is within BROADCAST_ROWS, else by a shuffle."""
     if small.count() <= BROADCAST_ROWS:
