@@ -16,16 +16,19 @@ def test_counts_equal_the_library(small, odd, empty):
     assert tokencount.token_counts(empty).count() == 0
 
 
-def test_packing(small, odd, empty):
+def pieces_of(text):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+    return [(s, len(p := ids[s : s + 2048]), zlib.crc32(np.array(p, "<u4").tobytes()), len(ids)) for s in range(0, len(ids), 2048)]
+
+
+def test_packing(small, odd, empty):
     for df in (small, odd):
         rows = packing.pack(df).collect()
         want = Counter()
         for r in df.collect():
-            ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 1]
-            for s in range(0, len(ids), 2048):
-                part = ids[s : s + 2048]
-                want[r.doc_id, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)] += 1
+            for p in pieces_of(r.text):
+                want[r.doc_id, *p] += 1
         assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
         windows = defaultdict(list)
         for r in rows:
