@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import chat, hilbert, jaccard_join, mixture, packing, repetition, spotsigs, tokencount, toxicity
+from docquarry.llm import chat, hilbert, jaccard_join, lm_scores, mixture, packing, repetition, spotsigs, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_hostile(table(spark, sf_dir, "conversations")))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_mixture, op3_spotsigs, op4_jaccard_join, op5_repetition, op6_chat_format, op8_packing, op9_token_counts, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_mixture, op3_spotsigs, op4_jaccard_join, op5_repetition, op6_chat_format, op7_lm_scores, op8_packing, op9_token_counts, op10_toxicity)}
 ORACLES: dict[str, str] = {"op2_mixture": mixture.ORACLE, "op6_chat_format": chat.ORACLE}
