@@ -1,11 +1,10 @@
-"""All queries of the reference's operators, with their DuckDB counterparts."""
+"""All queries of the engine's core, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from docquarry.plans import documents, relational
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+PARTS = (documents.Q, relational.Q)
+QUERIES = {name: plan for part in PARTS for name, plan in part.plans.items()}
+ORACLES = {name: text for part in PARTS for name, text in part.oracles.items()}
 FLAGSHIP = "retrieval_bm25_topk"
