@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.bytewords import chunks, mix
 from docquarry.llm.components import components
 from docquarry.llm.partenum import Scheme, folded, linked, most_apart, near_pairs, sets, sketch
-from docquarry.runtime import checkpointed, ship
+from docquarry.runtime import checkpointed, join_small, ship
 
 
 def _summary(batches: Iterable[pa.RecordBatch], n: int, scheme: Scheme) -> Iterator[pa.RecordBatch]:
@@ -96,14 +96,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, summary: DataFrame, n: int, sch
 
     side = lambda x: summary.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"))
     likely = checkpointed(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(may, "u long, v long").distinct())
-    needed = likely.select(F.col("u").alias("id")).union(likely.select("v")).distinct()
+    needed = checkpointed(likely.select(F.col("u").alias("id")).union(likely.select("v")).distinct())
 
     def whole(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for lo, hi, t in chunks(batch.column(1), lower=True):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets(t, n)], pa.binary())], ["id", "items"])
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id", "left_semi").mapInArrow(whole, "id long, items binary")
+    texts = join_small(docs.select(F.col("doc_id").alias("id"), "text"), needed, "id", "left_semi").mapInArrow(whole, "id long, items binary")
 
     def test(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

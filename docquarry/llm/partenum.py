@@ -19,10 +19,15 @@ N2 = 3
 class Scheme:
     """Sets link when den * |a & b| >= num * |a | b|.
 
-    Two such sets whose sizes are at most r differ in at most k = floor(2 r (den - num) / (den + num)) elements. With
-    n1 = k // 2 + 1 partitions of the element domain, one of them holds at most one difference, so of its N2 = 3 parts,
-    two agree: the signature over those two is shared. A set gives 3 n1 signatures for its size band, and as many for the
-    next band if a partner may lie there.
+    Two such sets whose sizes are at most r differ in at most k = floor(2 r (den - num) / (den + num)) elements. Of
+    n1 = k // 2 + 1 + spare partitions of the element domain, more than spare hold at most one difference, and of such a partition's
+    N2 = 3 parts, two agree: the signature over those two is shared. A set gives 3 n1 signatures for its size band, and as
+    many for the next band if a partner may lie there.
+
+    Two parts without elements tell nothing and are left out. While at most spare of a set's partitions have such a
+    pair, one of the agreeing partitions still has none. A set with more is irregular, and gives its empty pairs too, each along
+    with every signature of a second, independent partition; two irregular sets agree in one of those, and a regular set
+    shares a full signature with any partner.
     """
 
     num: int = 85
@@ -49,10 +54,12 @@ class Scheme:
             if k == 0:
                 out.append(mix(np.array([items.sum(dtype=np.uint64) + np.uint64(band)])))
                 continue
-            keys, empty = _parts(items, k // 2 + 1, band)
+            n1 = k // 2 + 1
+            spare = 0 if n1 < 8 else 1 if n1 < 24 else 2 + n1 // 50
+            keys, empty = _parts(items, n1 + spare, band)
             out.append(keys[~empty])
-            if empty.any():  # a part without elements tells nothing: it counts only along with an agreement of a second, independent partition
-                other, void = _parts(np.sort(mix(items ^ np.uint64(0xA5A5A5A5A5A5A5A5))), k // 2 + 1, band + 4096)
+            if empty.reshape(-1, N2).any(1).sum() > spare:
+                other, _ = _parts(np.sort(mix(items ^ np.uint64(0xA5A5A5A5A5A5A5A5))), n1, band + 4096)
                 out.append(mix(keys[empty][:, None] ^ (other * np.uint64(3))[None, :]).ravel())
         return np.concatenate(out)
 

@@ -73,8 +73,8 @@ def test_chains_and_groups(spark):
 def test_signatures_never_miss():
     rng = np.random.default_rng(3)
     scheme = partenum.Scheme()
-    for _ in range(1500):
-        n = int(rng.choice([1, 2, 5, 6, 7, 13, 14, 20, 40, 100, 333]))
+    for _ in range(2000):
+        n = int(rng.choice([1, 2, 5, 6, 7, 13, 14, 20, 40, 100, 333, 2500]))
         both = rng.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)
         extra = int(rng.integers(0, n // 5 + 2))
         a = np.unique(np.concatenate([both, rng.integers(0, 1 << 64, int(rng.integers(0, extra + 1)), dtype=np.uint64)]))
