@@ -14,6 +14,9 @@ from docquarry.llm.components import components
 from docquarry.llm.partenum import Scheme, folded, linked, most_apart, near_pairs, sets, sketch
 from docquarry.runtime import checkpointed, join_small, ship
 
+#: Tasks over which the copies of one text are dealt at least.
+SALTS = 64
+
 
 def _summary(batches: Iterable[pa.RecordBatch], n: int, scheme: Scheme) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -134,7 +137,8 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
     summary = checkpointed(docs.mapInArrow(lambda it: _summary(it, n, scheme), "id long, n long, h1 long, h2 long, sketch binary"))
     sizes = summary.where("n > 0 and id is not null")
     first = sizes.groupBy("h1", "h2", "n").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("q_same")).where("q_same > 1").drop("q_same")
-    copies = sizes.select(F.col("id").alias("u"), "h1", "h2", "n").join(first, ["h1", "h2", "n"]).select("u", "v").where("u <> v")
+    salted = first.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hot class's rows meet its first one in SALTS tasks
+    copies = sizes.select(F.col("id").alias("u"), "h1", "h2", "n", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("q_salt")).join(salted, ["h1", "h2", "n", "q_salt"]).select("u", "v").where("u <> v")
 
     signed = known.mapInArrow(lambda it: _signatures(it, n, scheme), "key long, id long")
     shared = checkpointed(signed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long, lead long, place long"))
@@ -175,3 +179,16 @@ def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
     """The rows of docs whose doc_id is its class's smallest; of rows that share a doc_id, all stay. Null ids stay."""
     dropped = link_classes(docs, n, num, den).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: link_classes() in DuckDB: all pairs that share a shingle, then reachability.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n AS x ON x.doc_id = u JOIN n AS y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id AS id, doc_id AS other FROM d UNION SELECT r.id, e.v FROM r JOIN e ON r.other = e.u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(other) AS component_id FROM r GROUP BY id) c ON c.id = d.doc_id
+"""

@@ -54,4 +54,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_mixture, op3_spotsigs, op4_jaccard_join, op5_repetition, op6_chat_format, op7_lm_scores, op8_packing, op9_token_counts, op10_toxicity)}
-ORACLES: dict[str, str] = {"op2_mixture": mixture.ORACLE, "op6_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixture": mixture.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op5_repetition": repetition.ORACLE, "op6_chat_format": chat.ORACLE}

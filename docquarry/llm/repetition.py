@@ -100,3 +100,27 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 yield batch.slice(lo, hi - lo).filter(pa.array(judge(measure(t, LENGTHS), LENGTHS)[1]))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _oracle() -> str:
+    """coverage() in DuckDB."""
+    dups = ", ".join(f"coalesce(sum(chars) FILTER (n = {n}), 0)::BIGINT AS dup_{n}" for n in LENGTHS)
+    bad = " OR ".join(f"dup_{n} > {most} * word_chars" for n, most in zip(LENGTHS, MOST_NGRAM, strict=True))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT rid, i, length(ws[i]) AS chars FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+g AS (SELECT rid, n, i, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT unnest({sorted({*LENGTHS, BASE_WINDOW})}) AS n) WHERE len(ws) >= n)),
+r AS (SELECT rid, n, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, n, gram) AS c FROM g) WHERE c > 1),
+c AS (SELECT DISTINCT rid, n, i + k AS i FROM (SELECT rid, n, i, unnest(range(0, n)) AS k FROM r)),
+s AS (SELECT rid, count(*) FILTER (n = {BASE_WINDOW}) AS n_repeat_words, {dups} FROM c JOIN w USING (rid, i) GROUP BY rid),
+l AS (SELECT rid, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
+a AS (SELECT rid, length(array_to_string(lw, '')) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS k FROM l WHERE len(lw) > 0) WHERE k > 1),
+t AS (SELECT rid, count(*) AS n_dup_lines, sum(chars)::BIGINT AS dup_line_chars FROM a GROUP BY rid),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars, {", ".join(f"coalesce(dup_{n}, 0) AS dup_{n}" for n in LENGTHS)} FROM d LEFT JOIN s USING (rid) LEFT JOIN t USING (rid))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words OR dup_line_chars > {MOST_LINES} * word_chars OR {bad}) AS kept FROM f
+"""
+
+
+ORACLE = _oracle()

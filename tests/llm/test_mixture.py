@@ -1,7 +1,6 @@
 import re
 from collections import Counter, defaultdict
 
-import duckdb
 
 from docquarry.llm import mixture
 
@@ -54,10 +53,3 @@ def test_reruns_and_mix(small, odd, empty):
     assert mixture.mix(empty).count() == 0 == mixture.mixed_sizes(empty).count()
 
 
-def test_oracle(spark):
-    path = "/root/testdata/sf0.001/documents.parquet"
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}')")
-    want = sorted(con.execute(f"SELECT doc_id, size, source_size, round(target, 6), taken, copies FROM ({mixture.ORACLE})").fetchall())
-    got = sorted((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken, r.copies) for r in mixture.mixed_sizes(spark.read.parquet(path)).collect())
-    assert got == want
