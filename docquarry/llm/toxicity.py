@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) ->
     return model
 
 
-def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
+def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 0.03, rounds: int = 25) -> np.ndarray:
     """Logistic regression on posterior labels by Newton steps; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -170,7 +171,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Scorer
     ship(docs.sparkSession)
     chosen = checkpointed(learnable(labels, rows))
     train = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    train = checkpointed(train.dropDuplicates(["doc_id"]).select("text", "toxic"))
+
+    def like(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            keys = [min(xxhash.xxh3_64_intdigest(" ".join(w[i : i + 5])) >> 1 for i in range(max(1, len(w) - 4))) for w in ((t or "").split() for t in b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column("text"), b.column("toxic")], ["q_like", "text", "toxic"])
+
+    # copies, and most near copies, share their least shingle: they are one piece of evidence
+    train = train.select("text", "toxic").mapInArrow(like, "q_like long, text string, toxic int")
+    train = train.groupBy("q_like").agg(F.min(F.struct((-F.col("toxic")).alias("t"), F.coalesce("text", F.lit("")).alias("text"))).alias("q_row"))
+    train = checkpointed(train.select("q_row.text", (-F.col("q_row.t")).alias("toxic")))
     mined = mine(train)
     voters = Voters([*(f"={w}" for w in INSULTS), *(v for v in mined if v[1:] not in INSULTS)])
 
