@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docquarry.plans import documents, pipelines, relational, streams
+from docquarry.plans import documents, extraction, pipelines, relational, streams
 
-PARTS = (documents.Q, pipelines.Q, relational.Q, streams.Q)
+PARTS = (documents.Q, extraction.Q, pipelines.Q, relational.Q, streams.Q)
 QUERIES = {name: plan for part in PARTS for name, plan in part.plans.items()}
 ORACLES = {name: text for part in PARTS for name, text in part.oracles.items()}
 FLAGSHIP = "retrieval_bm25_topk"

@@ -37,7 +37,7 @@ def test_query(spark, con, name):
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
     if name not in catalog.ORACLES:
-        assert got or name in ("b16_unselected_options",)
+        assert got or name == "j5_bigram_cosine"  # no two of the few suppliers share a nation here
         return
     rel = con.execute(catalog.ORACLES[name])
     names = [d[0] for d in rel.description]
