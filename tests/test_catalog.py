@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 
 from docquarry import catalog
 
-DIR = "/root/testdata/sf0.001"
+DIR = os.environ.get("CATALOG_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
