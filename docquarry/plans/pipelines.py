@@ -135,10 +135,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").select(*old.columns).unionByName(new)
 
 
-@Q.plan("s3_upsert", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 10 <> 3 UNION ALL SELECT c_custkey, 'NEW' FROM customer WHERE c_custkey % 10 = 3")
+@Q.plan("s3_upsert", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return upsert(old, old.where("c_custkey % 10 = 3").withColumn("c_mktsegment", F.lit("NEW")), "c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    new = customers.where("c_acctbal < 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment"))
+    return upsert(customers.select("c_custkey", "c_mktsegment"), new, "c_custkey")
 
 
 sql("s4_backfill", "SELECT c_custkey, CASE WHEN c_nationkey < 3 THEN 'BUILDING' ELSE c_mktsegment END AS segment FROM @customer")
@@ -157,7 +158,7 @@ sql(
     "SELECT l_orderkey, count(DISTINCT p) AS pages, min(p)::INT AS first FROM (SELECT l_orderkey, unnest(range(l_linenumber, 1 + CASE WHEN l_quantity <= 10 THEN l_linenumber + trunc(l_quantity)::INT ELSE l_linenumber END)) AS p FROM lineitem) x GROUP BY l_orderkey",
 )
 sql("t8_group_kind", "SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL' THEN 'technical' WHEN p_type LIKE '%BRASS' THEN 'business' ELSE 'other' END AS kind FROM @part")
-sql("t11_visible_selection", "SELECT o_orderkey FROM @orders WHERE o_orderkey % 7 = 0 AND o_custkey IN (SELECT c_custkey FROM @customer WHERE c_acctbal > 0)")
+sql("t11_visible_selection", "SELECT o_orderkey FROM @orders WHERE o_orderstatus = 'O' AND o_custkey IN (SELECT c_custkey FROM @customer WHERE c_acctbal > 0)")
 sql("h2_outline_key", "SELECT p_partkey, replace(replace(lower(p_name), ' ', ''), '#', '') AS key FROM @part")
 sql("h9_stopped_tokens", "SELECT p_partkey, array_join(filter(split(lower(p_name), ' '), x -> length(x) >= 2 AND x NOT IN ('the', 'of')), ' ') AS tokens FROM @part", "SELECT p_partkey, array_to_string(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 2 AND x NOT IN ('the', 'of')), ' ') AS tokens FROM part")
 sql("h11_alias_test", "SELECT doc_id FROM @documents WHERE lower(text) LIKE '%ing%' OR lower(text) LIKE '%ung%'")

@@ -162,7 +162,7 @@ sql("h26_capture", "SELECT doc_id, regexp_extract(text, '([A-Z][A-Z]+-?[A-Z0-9-]
 # Dates, scores and JSON
 sql("i3_event_order", "SELECT l_orderkey, l_linenumber FROM @lineitem JOIN @orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate")
 sql("i4_locked_mismatch", "SELECT o_custkey, count(DISTINCT CAST(o_orderdate AS DATE)) AS dates FROM @orders o JOIN (SELECT o_custkey AS k, min(o_orderdate) AS locked FROM @orders GROUP BY o_custkey) f ON o.o_custkey = f.k WHERE o_orderdate <> locked GROUP BY o_custkey")
-sql("i5_iso_parse", "SELECT event_id, try_cast(concat('2024-', CAST(1 + event_id % 14 AS STRING), '-01') AS DATE) AS d FROM @events WHERE event_id % 14 >= 9", "SELECT event_id, try_cast(concat('2024-', CAST(1 + event_id % 14 AS VARCHAR), '-01') AS DATE) AS d FROM events WHERE event_id % 14 >= 9")
+sql("i5_iso_parse", "SELECT event_id, try_cast(concat('2024-', lpad(CAST(1 + event_id % 14 AS STRING), 2, '0'), '-31') AS DATE) AS d FROM @events")
 sql("i6_backfill", "SELECT user_id, max_by(value, struct(ts, event_id)) FILTER (WHERE event_type = 'click') AS last_click FROM @events GROUP BY user_id", "SELECT user_id, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'click') AS last_click FROM events GROUP BY user_id")
 sql("i7_timeline_score", "SELECT doc_id, 120 * CAST(text LIKE '%validity%' AS INT) + 25 * CAST(left(text, 80) LIKE '%the%' AS INT) - 30 * CAST(length(text) > 8000 AS INT) + 80 * CAST(text LIKE '%deadline%' AS INT) AS score FROM @documents")
 sql("j9_category_match", "SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 100 WHEN p_type LIKE 'ECONOMY%' THEN 80 WHEN p_type LIKE '%ECONOMY%' THEN 70 ELSE 0 END AS score FROM @part")
