@@ -22,7 +22,7 @@ _SEQ = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id
 # Scans
 sql(
     "a3_fragment_merge",
-    f"SELECT user_id, island, count(*) AS fragments, min(n) AS page, max(n) AS page_end FROM (SELECT user_id, n, sum(brk) OVER (PARTITION BY user_id ORDER BY n) AS island FROM (SELECT user_id, n, CASE WHEN n - lag(n) OVER (PARTITION BY user_id ORDER BY n) <= 1 THEN 0 ELSE 1 END AS brk FROM {_SEQ} e WHERE event_type = 'view') a) b GROUP BY user_id, island",
+    f"SELECT user_id, CAST(island AS BIGINT) AS island, count(*) AS fragments, min(n) AS page, max(n) AS page_end FROM (SELECT user_id, n, sum(brk) OVER (PARTITION BY user_id ORDER BY n) AS island FROM (SELECT user_id, n, CASE WHEN n - lag(n) OVER (PARTITION BY user_id ORDER BY n) <= 1 THEN 0 ELSE 1 END AS brk FROM {_SEQ} e WHERE event_type = 'view') a) b GROUP BY user_id, island",
 )
 sql("a4_bookmark_parent", "SELECT n_regionkey, 10 * count(*) + CASE WHEN min(n_name) LIKE 'N%' THEN 20 ELSE 0 END AS score FROM @nation GROUP BY n_regionkey HAVING count(*) >= 3")
 sql("a8_section_scan", f"SELECT user_id, n AS start_block, lead(n) OVER (PARTITION BY user_id ORDER BY n) AS end_block FROM {_SEQ} e WHERE event_type = 'signup'")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -38,3 +39,25 @@ class Catalog:
         """
         self.plans[name] = lambda spark, sf_dir: spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
         self.oracles[name] = re.sub(r"@(\w+)", r"\1", oracle or text)
+
+
+def widened(plan: Plan, columns: tuple[str, ...]) -> Plan:
+    """plan with some integer columns as bigint, as other engines count and measure."""
+    return lambda spark, sf_dir: plan(spark, sf_dir).withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def narrowed(oracle: str) -> str:
+    """An oracle whose count_if gives bigint, not a wider type."""
+    out, at = "", 0
+    while (i := oracle.find("count_if(", at)) >= 0:
+        depth, j = 0, i + len("count_if")
+        while True:
+            depth += {"(": 1, ")": -1}.get(oracle[j], 0)
+            j += 1
+            if not depth:
+                break
+        tail = re.match(r" OVER \([^)]*\)", oracle[j:])
+        j += tail.end() if tail else 0
+        out += oracle[at:i] + f"CAST({oracle[i:j]} AS BIGINT)"
+        at = j
+    return out + oracle[at:]

@@ -173,7 +173,7 @@ sql("k12_alias", "SELECT doc_id, CASE source WHEN 'src0' THEN 'main' ELSE source
 
 # Additive: what the reference lacks but its kind of engine offers
 sql("z_rollup", "SELECT coalesce(l_returnflag, 'all') AS flag, coalesce(l_linestatus, 'all') AS status, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM @lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
-sql("z_tumbling", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM @events GROUP BY date_trunc('hour', ts), event_type")
+sql("z_tumbling", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP_NTZ) AS hour, event_type, count(*) AS n FROM @events GROUP BY date_trunc('hour', ts), event_type", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type")
 sql("z_pricing", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM @lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus")
 
 # Reports
