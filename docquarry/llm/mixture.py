@@ -80,9 +80,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     rows = named.select("doc_id", "q_hash", "source", words_in(F.col("text")).alias("size"))
     drawn = sample_copies(rows, ["doc_id", "q_hash"], **options).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("q_doc"), "q_hash").agg(F.sum("copies").alias("q_copies"), F.count(F.lit(1)).alias("q_same"))
     once = named.withColumn("q_doc", F.coalesce("doc_id", F.lit(-1)))
+    drawn = checkpointed(drawn)
     hot = drawn.where("q_same > 1 and q_copies > 0")
     single = once.join(drawn.where("q_same = 1 and q_copies > 0").drop("q_same"), ["q_doc", "q_hash"])
-    several = once.join(hot.drop("q_same"), ["q_doc", "q_hash"]).dropDuplicates(["q_doc", "q_hash"])
+    several = join_small(once, checkpointed(hot.drop("q_same")), ["q_doc", "q_hash"]).dropDuplicates(["q_doc", "q_hash"])
     both = single.unionByName(several)
     return both.withColumn("q_copy", F.explode(F.sequence(F.lit(1), F.col("q_copies").cast("int")))).select(*docs.columns)
 

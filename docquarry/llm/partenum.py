@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -47,6 +48,16 @@ class Scheme:
             self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * BAND) + 1))
         return [(b, 2 * (self.lows[b + 1] - 1) * (self.den - self.num) // (self.den + self.num)) for b in range(i, last + 1)]
 
+    def spare(self, band: int, n1: int) -> int:
+        """Partitions beyond n1: about as many as have an empty pair in the band's smallest sets, and two deviations."""
+        if n1 < 8:
+            return 0
+        least, extra = self.lows[band] * self.num / self.den, 0.0
+        for _ in range(4):
+            mean = N2 * (n1 + extra) * math.exp(-least * (N2 - 1) / N2 / (n1 + extra))
+            extra = mean + 2 * math.sqrt(mean)
+        return math.ceil(extra)
+
     def signatures(self, items: np.ndarray) -> np.ndarray:
         """64-bit signatures of a set of hashes, given sorted."""
         out = []
@@ -55,7 +66,7 @@ class Scheme:
                 out.append(mix(np.array([items.sum(dtype=np.uint64) + np.uint64(band)])))
                 continue
             n1 = k // 2 + 1
-            spare = 0 if n1 < 8 else 1 if n1 < 24 else 2 + n1 // 50
+            spare = self.spare(band, n1)
             keys, empty = _parts(items, n1 + spare, band)
             out.append(keys[~empty])
             if empty.reshape(-1, N2).any(1).sum() > spare:
