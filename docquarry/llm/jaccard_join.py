@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.bytewords import chunks, mix
 from docquarry.llm.components import components
-from docquarry.llm.partenum import Scheme, folded, linked, most_apart, near_pairs, sets, sketch
+from docquarry.llm.partenum import Scheme, folded, forest, linked, most_apart, near_pairs, sets, sketch
 from docquarry.runtime import checkpointed, join_small, ship
 
 #: Tasks over which the copies of one text are dealt at least.
@@ -126,8 +127,9 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
 
     1. Equal sets are joined by two 64-bit hashes. Each task signs a set once, so copies don't multiply.
     2. Each signature's documents are held against its first one; what links is found exactly.
-    3. Where documents of a signature are then still in different classes, all its pairs across classes are compared
-       inside the task by parity sketches, which bound the difference from below; the few left are tested exactly.
+    3. Where documents of a signature are then still in different classes, its pairs across classes are compared
+       inside the task by parity sketches, which bound the difference from below. Of those not ruled out, the likeliest that would
+       join the classes are tested exactly first; then all that are left across classes are.
     Signatures, not documents, are dealt to tasks; no pairs within a class are ever made in step 3.
     """
     ship(docs.sparkSession)
@@ -149,29 +151,30 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
     several = shared.groupBy("key").agg(F.max("place").alias("places")).where("places > 1").select("key")
     members = shared.join(several, "key", "left_semi")
     members = members.select("key", "id").unionByName(members.where("place = 1").select("key", F.col("lead").alias("id")))
-    named = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    named = checkpointed(named)
-    open_keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rest = named.join(open_keys, "key", "left_semi").join(sizes.select("id", "n", "sketch"), "id").select("key", "id", "component", "n", "sketch")
+    members = checkpointed(members)
+    tried = checkpointed(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
 
-    def across(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
+    def across(it: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         for g in _groups(it):
-            i, j = near_pairs(np.array(g["n"]), folded(g["sketch"]), np.array(g["component"]), num, den)
-            ids = np.array(g["id"])
-            pairs = {(max(a, b), min(a, b)) for a, b in zip(ids[i].tolist(), ids[j].tolist(), strict=True)} - done
-            done |= pairs
-            if len(done) > 1_000_000:
-                done = set()
-            if pairs:
-                u, v = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    more = rest.repartition("key").sortWithinPartitions("key").mapInArrow(across, "u long, v long").distinct()
-    more = more.join(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti")
-    late = _verified(more, known, sizes, n, scheme)
-    if not late.isEmpty():
-        found = checkpointed(components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(late)))
+            part = np.array(g["component"])
+            i, j, slack = near_pairs(np.array(g["n"]), folded(g["sketch"]), part, num, den)
+            if not whole:
+                chosen = forest(part, i, j, slack)
+                i, j = i[chosen], j[chosen]
+            if len(i):
+                ids = np.array(g["id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], ["u", "v"])
+
+    for whole in (False, True):  # what most likely joins the classes first, so that few pairs are left to test
+        named = checkpointed(members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+        open_keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+        rest = named.join(open_keys, "key", "left_semi").join(sizes.select("id", "n", "sketch"), "id").select("key", "id", "component", "n", "sketch")
+        more = rest.repartition("key").sortWithinPartitions("key").mapInArrow(partial(across, whole=whole), "u long, v long").distinct()
+        more = checkpointed(more.join(tried, ["u", "v"], "left_anti"))
+        late = _verified(more, known, sizes, n, scheme)
+        if not late.isEmpty():
+            found = checkpointed(components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(late)))
+        tried = tried.unionByName(more)
     return summary.select("id", "n").join(found, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

@@ -11,7 +11,7 @@ import numpy as np
 from docquarry.llm.bytewords import Texts, mix
 
 #: Sizes in a band span this factor. Wider bands give fewer documents a second band, but coarser partitions.
-BAND = 1.4
+BAND = 1.3
 #: Each of the n1 first-level partitions is split in N2; signatures leave out one of them.
 N2 = 3
 
@@ -125,7 +125,7 @@ def most_apart(sizes: int | np.ndarray, num: int, den: int):
 
 def sketch(items: np.ndarray, k: int) -> bytes:
     """Parities of the numbers of elements in 2**j cells: differing bits never outnumber differing elements."""
-    bits = 1 << min(12, max(8, (8 * k).bit_length()))
+    bits = 1 << min(13, max(8, (16 * k).bit_length()))
     return np.packbits((np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -144,9 +144,9 @@ def folded(sketches: list[bytes]) -> np.ndarray:
 _BLOCK = 512
 
 
-def near_pairs(sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) from different groups that sizes and sketches don't rule out; a block of rows at a time."""
-    left, right = [], []
+def near_pairs(sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) from different groups that sizes and sketches don't rule out, and how far below the bound each stays; a block of rows at a time."""
+    left, right, slack = [], [], []
     for i in range(0, len(sizes), _BLOCK):
         for j in range(i, len(sizes), _BLOCK):
             a, b = slice(i, i + _BLOCK), slice(j, j + _BLOCK)
@@ -156,6 +156,33 @@ def near_pairs(sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, num:
             if i == j:
                 ok &= np.tri(*ok.shape, -1, dtype=bool).T
             p, q = np.nonzero(ok)
-            left.append(p + i)
-            right.append(q + j)
-    return np.concatenate(left), np.concatenate(right)
+            left.append((p + i).astype(np.int32))
+            right.append((q + j).astype(np.int32))
+            slack.append((most_apart(x + y, num, den) - apart)[p, q].astype(np.int32))
+    return np.concatenate(left), np.concatenate(right), np.concatenate(slack)
+
+
+def forest(groups: np.ndarray, i: np.ndarray, j: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """Which of the pairs join all groups that pairs connect, those with the most slack first: a spanning forest in rounds."""
+    _, root = np.unique(groups, return_inverse=True)
+    parent = list(range(int(root.max()) + 1 if len(root) else 0))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    edges, chosen = np.arange(len(i)), []
+    label = root.copy()
+    while len(edges := edges[label[i[edges]] != label[j[edges]]]):
+        ends, own = np.concatenate([label[i[edges]], label[j[edges]]]), np.concatenate([edges, edges])
+        order = np.lexsort((own, -slack[own], ends))
+        first = np.flatnonzero(np.r_[True, ends[order][1:] != ends[order][:-1]])
+        for e in np.unique(own[order][first]).tolist():
+            a, b = top(int(root[i[e]])), top(int(root[j[e]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                chosen.append(e)
+        label = np.array([top(x) for x in range(len(parent))])[root]
+    return np.array(chosen, np.int64)
