@@ -1,4 +1,4 @@
-"""SpotSigs fingerprints: chains of content words that follow common words."""
+"""SpotSigs fingerprints: chains of content words that follow common words, and the chains of all words."""
 
 from __future__ import annotations
 
@@ -23,8 +23,8 @@ ANCHORS = frozenset(
     "aber als auch auf aus bei das dem den der die ein eine einen einer es für hat ich im ist mit nach nicht sich sie sind so und uns von vor war wie wir zu zum zur "
     "al como con del el ella ellos era esta este fue ha hay lo los las más muy no o para pero por se sin sobre su sus te tu una uno unos y ya".split()
 )
-#: Content words in a chain, and the fewest anchored signatures: with fewer, every word's chain is added.
-CHAIN, FEWEST = 2, 8
+#: Content words in a chain.
+CHAIN = 2
 _WORDS = re.compile(r"\w+")
 _UINT32 = np.dtype("<u4")
 
@@ -32,8 +32,9 @@ _UINT32 = np.dtype("<u4")
 def signatures(text: str) -> np.ndarray:
     """Sorted distinct 32-bit hashes of a text's spots: a common word and the next CHAIN content words.
 
-    A text with fewer than FEWEST spots also gives the chains that start at each word (shorter at its end), so that
-    short texts, lists and other languages have signatures; one without words gives a signature of its characters, an empty one none.
+    Every text also gives the chains that start at each word (shorter at its end), so that short texts, lists and other
+    languages have signatures and likeness does not depend on how many spots a text has; one without words gives a
+    signature of its characters, an empty one none.
     """
     words = _WORDS.findall(text.lower())
     content: list[str] = []
@@ -45,8 +46,7 @@ def signatures(text: str) -> np.ndarray:
             content.append(w)
     last = len(content) - CHAIN
     chains = {f"{w} {' '.join(content[k : k + CHAIN])}" for w, k in spots if k <= last}
-    if len(chains) < FEWEST:
-        chains.update(" ".join(words[k : k + CHAIN + 1]) for k in range(len(words)))
+    chains.update(" ".join(words[k : k + CHAIN + 1]) for k in range(len(words)))
     if not chains and text:
         chains = {text}
     return np.unique(np.array([xxhash.xxh32_intdigest(c) for c in chains], _UINT32))

@@ -36,3 +36,12 @@ def test_near_duplicates(small, odd, empty):
         got = {(r.doc_id, r.component_id) for r in spotsigs.near_duplicates(df).collect() if r.doc_id is not None}
         assert got == {(i, top(i)) for i, _ in rows}
     assert spotsigs.near_duplicates(empty).count() == 0
+
+
+def test_likeness_does_not_jump_with_the_number_of_spots():
+    """A text of 7 spots and its copy with more are as alike as their words are."""
+    body = [f"the left{k} right{k}" for k in range(7)]
+    short = " ".join(body)
+    for more in (1, 2, 3):
+        longer = f"{short} {' '.join(f'the up{k} down{k}' for k in range(more))}"
+        assert spotsigs.likeness(spotsigs.signatures(short), spotsigs.signatures(longer)) > 0.75 * 7 / (7 + more)
