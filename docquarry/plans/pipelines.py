@@ -47,17 +47,56 @@ def ratio_udf(spark: SparkSession):
     return ratio
 
 
+def _parts(a: str, n: int):
+    """Distinct parts of n characters of column a, each with its number among equal ones: (part, occurrence)."""
+    every = f"transform(sequence(1, length({a}) - {n - 1}), i -> substr({a}, i, {n}))"
+    return F.expr(f"transform({every}, (g, i) -> struct(g AS g, size(filter(slice({every}, 1, i + 1), x -> x = g)) AS k))")
+
+
+def title_candidates(names: DataFrame) -> DataFrame:
+    """Of distinct (brand, a): p_brand, a, b, in both directions, all pairs of which one holds the other or whose ratio can reach 0.9.
+
+    A held name of 4 or more characters shares its rarest part of 4 with its holder. Names with a ratio of 0.9 differ in at most
+    a tenth of their characters, so at most 0.364 of a name's pairs of neighbours are missing in the other: ordered by
+    rarity, their first 0.364 length + 1 pairs meet.
+    """
+
+    def listed(n: int) -> DataFrame:
+        parts = names.where(F.length("a") >= n).select("p_brand", "a", F.explode(_parts("a", n)).alias("part"))
+        return parts.join(parts.groupBy("p_brand", "part").agg(F.count(F.lit(1)).alias("n")), ["p_brand", "part"])
+
+    fours = listed(4)
+    rarest = fours.groupBy("p_brand", "a").agg(F.min(F.struct("n", "part"))["part"]["g"].alias("g")).select("p_brand", "g", F.col("a").alias("held"))
+    holders = fours.select("p_brand", F.col("part.g").alias("g"), F.col("a").alias("holder")).distinct()
+    holds = rarest.join(holders, ["p_brand", "g"]).where("held <> holder AND contains(holder, held)")
+    ordered = listed(2).groupBy("p_brand", "a").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("o"))
+    prefix = ordered.select("p_brand", "a", F.explode(F.expr("slice(o, 1, cast(floor(0.364 * length(a)) AS int) + 1)")).alias("x")).select("p_brand", "a", "x.part")
+    close = prefix.join(prefix.select("p_brand", "part", F.col("a").alias("b")), ["p_brand", "part"]).where("a < b AND 20 * least(length(a), length(b)) >= 9 * (length(a) + length(b))")
+    both = holds.select("p_brand", F.col("held").alias("a"), F.col("holder").alias("b")).unionByName(close.select("p_brand", "a", "b"))
+    return both.unionByName(both.select("p_brand", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
 @Q.plan("c7_best_title")
 def best_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names to the nearest other name of the brand: exact 100, containment 86 less the gap, else 80 times the ratio from 0.9."""
+    return nearest_titles(spark, table(spark, sf_dir, "part"))
+
+
+def nearest_titles(spark: SparkSession, parts: DataFrame) -> DataFrame:
+    """p_partkey, other, score; names of fewer than 3 characters match none, and are held by none below 4. The smallest other key wins ties."""
     ratio = ratio_udf(spark)
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", T.match_key(F.col("p_name")).alias("a"))
-    pairs = p.join(p.select("p_brand", F.col("p_partkey").alias("other"), F.col("a").alias("b")), "p_brand").where("p_partkey <> other AND abs(length(a) - length(b)) <= 2 AND left(a, 2) = left(b, 2)")
+    p = parts.select("p_partkey", "p_brand", T.match_key(F.col("p_name")).alias("a")).where("length(a) >= 3")
+    names = p.groupBy("p_brand", "a").agg(F.array_sort(F.collect_set("p_partkey")).alias("ks")).select("p_brand", "a", F.slice("ks", 1, 2).alias("ks"))
+    named = title_candidates(names.select("p_brand", "a")).join(names.select("p_brand", F.col("a").alias("b"), F.get("ks", F.lit(0)).alias("other")), ["p_brand", "b"])
     gap = F.least(F.abs(F.length("a") - F.length("b")), F.lit(12))
-    r = ratio(F.col("a"), F.col("b"))
-    score = F.when(F.col("a") == F.col("b"), 100.0).when((F.col("a").contains(F.col("b"))) | (F.col("b").contains(F.col("a"))), 86.0 - gap).otherwise(F.when(r >= 0.9, 80 * r).otherwise(0.0))
-    best = pairs.withColumn("score", score).where("score >= 60")
-    return best.withColumn("n", F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("score"), "other"))).where("n = 1").select("p_partkey", "other", F.round("score", 4).alias("score"))
+    held = (F.least(F.length("a"), F.length("b")) >= 4) & (F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
+    rated = named.withColumn("r", ratio(F.col("a"), F.col("b")))
+    scored = rated.withColumn("score", F.when(held, 86.0 - gap).otherwise(F.when(F.col("r") >= 0.9, 80 * F.col("r")).otherwise(0.0))).where("score >= 60")
+    best = scored.groupBy("p_brand", "a").agg(F.max(F.struct("score", (-F.col("other")).alias("o"))).alias("best"))
+    found = p.join(names, ["p_brand", "a"]).join(best, ["p_brand", "a"], "left")
+    same = F.when(F.size("ks") > 1, F.when(F.get("ks", F.lit(0)) == F.col("p_partkey"), F.get("ks", F.lit(1))).otherwise(F.get("ks", F.lit(0))))
+    out = found.select("p_partkey", F.coalesce(same, -F.col("best.o")).alias("other"), F.when(same.isNotNull(), 100.0).otherwise(F.round("best.score", 4)).alias("score"))
+    return out.where("other IS NOT NULL")
 
 
 @Q.plan("j4_candidate_score")
