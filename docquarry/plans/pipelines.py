@@ -101,15 +101,20 @@ def nearest_titles(spark: SparkSession, parts: DataFrame) -> DataFrame:
 
 @Q.plan("j4_candidate_score")
 def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation questions against answers of the same conversation: 0.55 overlap, 0.2 ratio, 0.25 containment."""
+    """Conversation questions against answers of the same conversation: 0.55 overlap, 0.2 ratio, 0.25 containment, all of whole texts."""
+    return scored_answers(spark, table(spark, sf_dir, "conversations"))
+
+
+def scored_answers(spark: SparkSession, c: DataFrame) -> DataFrame:
+    """conv_id, turn, answer, score; containment counts either way, and an empty text holds or is held by none."""
     ratio = ratio_udf(spark)
-    c = table(spark, sf_dir, "conversations")
-    q = c.where("role = 'user'").select("conv_id", "turn", F.left("text", F.lit(200)).alias("q"))
-    a = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("answer"), F.left("text", F.lit(200)).alias("a"))
+    q = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+    a = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("answer"), F.col("text").alias("a"))
     pairs = q.join(a, "conv_id").where("answer = turn + 1")
     qw, aw = F.array_distinct(T.words(F.lower("q"))), F.array_distinct(T.words(F.lower("a")))
     overlap = F.size(F.array_intersect(qw, aw)) / F.greatest(F.size(qw), F.lit(1))
-    score = 0.55 * overlap + 0.2 * ratio(F.col("q"), F.col("a")) + 0.25 * F.col("a").contains(F.col("q")).cast("int")
+    held = (F.length("q") > 0) & (F.length("a") > 0) & (F.col("a").contains(F.col("q")) | F.col("q").contains(F.col("a")))
+    score = 0.55 * overlap + 0.2 * ratio(F.col("q"), F.col("a")) + 0.25 * held.cast("int")
     return pairs.select("conv_id", "turn", "answer", F.round(score, 4).alias("score"))
 
 

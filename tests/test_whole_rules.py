@@ -39,3 +39,14 @@ def test_best_title_candidates_are_whole(spark):
         for b in names:
             if a != b and (min(len(a), len(b)) >= 4 and (a in b or b in a) or min(len(a), len(b)) >= 3 and difflib.SequenceMatcher(None, a, b).ratio() >= 0.9):
                 assert (a, b) in got, (a, b)
+
+
+def test_candidate_score_reads_whole_texts(spark):
+    long = " ".join(f"w{k}" for k in range(120))
+    pairs = [(long, f"{long} and more"), (f"{long} tail", long), (f"{long} x y", f"{long[:300]} y z"), ("", "a"), ("a b", "")]
+    rows = [r for i, (q, a) in enumerate(pairs) for r in ((i, 0, "user", q), (i, 1, "assistant", a))]
+    got = {r.conv_id: r.score for r in pipelines.scored_answers(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for i, (q, a) in enumerate(pairs):
+        ws, held = set(q.split()), bool(q and a) and (q in a or a in q)
+        want = 0.55 * len(ws & set(a.split())) / max(len(ws), 1) + 0.2 * difflib.SequenceMatcher(None, q, a).ratio() + 0.25 * held
+        assert abs(got[i] - want) < 1e-4, i
