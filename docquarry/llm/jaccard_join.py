@@ -17,6 +17,10 @@ from docquarry.runtime import checkpointed, join_small, ship
 
 #: Tasks over which the copies of one text are dealt at least.
 SALTS = 64
+#: Members of a signature that a task holds at once, twice where two blocks meet; larger groups are compared block by block, each pair of blocks on its own.
+GROUP_ROWS = 4096
+#: Likely pairs held before they are thinned to a forest, and equal sets that a task remembers to have signed.
+FOREST_PAIRS, SIGNED = 500_000, 200_000
 
 
 def _summary(batches: Iterable[pa.RecordBatch], n: int, scheme: Scheme) -> Iterator[pa.RecordBatch]:
@@ -33,6 +37,8 @@ def _summary(batches: Iterable[pa.RecordBatch], n: int, scheme: Scheme) -> Itera
 def _signatures(batches: Iterable[pa.RecordBatch], n: int, scheme: Scheme) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int]] = set()  # a task's equal sets sign once: others reach their class by its hashes
     for batch in batches:
+        if len(seen) > SIGNED:
+            seen.clear()
         for lo, hi, t in chunks(batch.column(1), lower=True):
             keys, at = [], []
             for i, s in enumerate(sets(t, n)):
@@ -67,25 +73,33 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (key[-1], lead[-1], place[-1])
 
 
-def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """Rows of one key after another, of batches sorted by their first column."""
-    held: dict[str, list] | None = None
+def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows of one key (the first columns) after another, of batches sorted by it; runs of a key are kept as they came."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for b in batches:
-        cols = {n: b.column(n).to_pylist() for n in b.schema.names}
-        keys = b.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy() for k in range(keys)]
+        new = np.zeros(b.num_rows - 1, bool)
+        for c in cols:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if i == j:
-                continue
-            part = {n: c[i:j] for n, c in cols.items()}
-            if held and held["key"][0] == part["key"][0]:
-                held = {n: held[n] + part[n] for n in held}
-            else:
-                if held:
-                    yield held
-                held = part
+            key = tuple(c[i] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+            last = key
     if held:
-        yield held
+        yield pa.Table.from_batches(held)
+
+
+def _thinned(part: np.ndarray, held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    i, j, slack = (np.concatenate(x) for x in zip(*held, strict=True))
+    chosen = forest(part, i, j, slack)
+    return i[chosen], j[chosen], slack[chosen]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, summary: DataFrame, n: int, scheme: Scheme) -> DataFrame:
@@ -155,21 +169,29 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
     tried = checkpointed(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
 
     def across(it: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
-        for g in _groups(it):
-            part = np.array(g["component"])
-            i, j, slack = near_pairs(np.array(g["n"]), folded(g["sketch"]), part, num, den)
-            if not whole:
-                chosen = forest(part, i, j, slack)
-                i, j = i[chosen], j[chosen]
-            if len(i):
-                ids = np.array(g["id"])
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], ["u", "v"])
+        def rows(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], ["u", "v"])
+
+        for g in _groups(it, 3):
+            ids, part, size, half = (g.column(k).to_numpy() for k in ("id", "component", "n", "block"))
+            held: list[tuple[np.ndarray, ...]] = []
+            for found in near_pairs(size, folded(g.column("sketch").to_pylist()), part, half, num, den):
+                if whole:
+                    yield rows(ids, *found[:2])
+                    continue
+                held.append(found)
+                if sum(len(h[0]) for h in held) > FOREST_PAIRS:  # a pair outside a part's forest is in no forest of the whole
+                    held = [_thinned(part, held)]
+            if held:
+                yield rows(ids, *_thinned(part, held)[:2])
 
     for whole in (False, True):  # what most likely joins the classes first, so that few pairs are left to test
         named = checkpointed(members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-        open_keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        rest = named.join(open_keys, "key", "left_semi").join(sizes.select("id", "n", "sketch"), "id").select("key", "id", "component", "n", "sketch")
-        more = rest.repartition("key").sortWithinPartitions("key").mapInArrow(partial(across, whole=whole), "u long, v long").distinct()
+        open_keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("blocks")).where("a <> b").select("key", "blocks")
+        rest = named.join(open_keys, "key").join(sizes.select("id", "n", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least(c, F.col("block")).alias("x"), F.greatest(c, F.col("block")).alias("y"))))
+        rest = rest.withColumn("cell", cell).select("key", "cell.x", "cell.y", "block", "id", "component", "n", "sketch")
+        more = rest.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(partial(across, whole=whole), "u long, v long").distinct()
         more = checkpointed(more.join(tried, ["u", "v"], "left_anti"))
         late = _verified(more, known, sizes, n, scheme)
         if not late.isEmpty():

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docquarry.llm.ranking import positions
-from docquarry.llm.tokens import Remembered, as_letters, kept, tokenizer
+from docquarry.llm.tokens import Remembered, as_letters, kept_for, tokenizer
 from docquarry.runtime import checkpointed, ship
 
 WINDOW = 2048
@@ -28,7 +28,7 @@ PLAIN = re.compile("[!-~¡-ÿ]+")
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def word_ids(name: str) -> Remembered:
+def word_ids(name: str, user: str = "packing") -> Remembered:
     """Little-endian 32-bit ids of white-space separated words.
 
     The tokenizer drops white space, its patterns never match across it and its special strings hold none, so a
@@ -50,7 +50,7 @@ def word_ids(name: str) -> Remembered:
             return b"".join([pieces[p] for p in parts(word.lower())])
         return array("I", whole.encode(word, add_special_tokens=False).ids).tobytes()
 
-    return kept(f"word ids:{name}", lambda: Remembered(encode))
+    return kept_for(user, f"word ids:{name}", lambda: Remembered(encode))
 
 
 def cut(batches: Iterable[pa.RecordBatch], name: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:

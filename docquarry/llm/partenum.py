@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -144,22 +145,31 @@ def folded(sketches: list[bytes]) -> np.ndarray:
 _BLOCK = 512
 
 
-def near_pairs(sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) from different groups that sizes and sketches don't rule out, and how far below the bound each stays; a block of rows at a time."""
-    left, right, slack = [], [], []
-    for i in range(0, len(sizes), _BLOCK):
-        for j in range(i, len(sizes), _BLOCK):
-            a, b = slice(i, i + _BLOCK), slice(j, j + _BLOCK)
-            apart = np.bitwise_count(sketches[a, None] ^ sketches[None, b]).sum(2, dtype=np.int64)
+def near_pairs(sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, halves: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) from different groups that sizes and sketches don't rule out, and how far below the bound each stays.
+
+    Where rows are of two halves, pairs lie across them, else anywhere. A block of rows by a block is compared at a time, word
+    by word, so memory does not grow with the rows or the sketches' length.
+    """
+    first, second = np.flatnonzero(halves == halves.min()), np.flatnonzero(halves != halves.min())
+    alone = not len(second)
+    if alone:
+        second = first
+    for i in range(0, len(first), _BLOCK):
+        a = first[i : i + _BLOCK]
+        for j in range(i if alone else 0, len(second), _BLOCK):
+            b = second[j : j + _BLOCK]
+            apart = np.zeros((len(a), len(b)), np.uint32)
+            for k in range(sketches.shape[1]):
+                apart += np.bitwise_count(sketches[a, k][:, None] ^ sketches[b, k][None, :])
             x, y = sizes[a, None], sizes[None, b]
-            ok = (apart <= most_apart(x + y, num, den)) & (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (groups[a, None] != groups[None, b])
-            if i == j:
+            most = most_apart(x + y, num, den)
+            ok = (apart <= most) & (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (groups[a, None] != groups[None, b])
+            if alone and i == j:
                 ok &= np.tri(*ok.shape, -1, dtype=bool).T
             p, q = np.nonzero(ok)
-            left.append((p + i).astype(np.int32))
-            right.append((q + j).astype(np.int32))
-            slack.append((most_apart(x + y, num, den) - apart)[p, q].astype(np.int32))
-    return np.concatenate(left), np.concatenate(right), np.concatenate(slack)
+            if len(p):
+                yield a[p], b[q], (most - apart)[p, q].astype(np.int32)
 
 
 def forest(groups: np.ndarray, i: np.ndarray, j: np.ndarray, slack: np.ndarray) -> np.ndarray:
