@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a checked, already aggregated table is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Rows in an Arrow batch at most: some texts are long, and a batch is held whole by a Python worker.
-BATCH_ROWS = 2000
+#: Rows and bytes in an Arrow batch at most: some texts are long, and a batch is held whole by a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once per application, so that Arrow functions can be unpickled anywhere."""
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(size)) > BATCH_ROWS:
-        spark.conf.set(size, str(BATCH_ROWS))
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
