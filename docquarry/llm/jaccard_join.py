@@ -19,6 +19,8 @@ from docquarry.runtime import checkpointed, join_small, ship
 SALTS = 64
 #: Members of a signature that a task holds at once, twice where two blocks meet; larger groups are compared block by block, each pair of blocks on its own.
 GROUP_ROWS = 4096
+#: What a group costs besides its pairs, in pairs.
+GROUP_COST = 4000.0
 #: Likely pairs held before they are thinned to a forest, and equal sets that a task remembers to have signed.
 FOREST_PAIRS, SIGNED = 500_000, 200_000
 
@@ -141,7 +143,8 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
 
     1. Equal sets are joined by two 64-bit hashes. Each task signs a set once, so copies don't multiply.
     2. Each signature's documents are held against its first one; what links is found exactly.
-    3. Where documents of a signature are then still in different classes, its pairs across classes are compared
+    3. Signatures with the same documents count as one, and those of a family that shares documents are one group where that makes
+       fewer pairs. Where documents of a group are then still in different classes, its pairs across classes are compared
        inside the task by parity sketches, which bound the difference from below. Of those not ruled out, the likeliest that would
        join the classes are tested exactly first; then all that are left across classes are.
     Signatures, not documents, are dealt to tasks; no pairs within a class are ever made in step 3.
@@ -162,10 +165,20 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
     edges = checkpointed(copies.unionByName(_verified(stars, known, sizes, n, scheme)))
     found = checkpointed(components(edges))
 
-    several = shared.groupBy("key").agg(F.max("place").alias("places")).where("places > 1").select("key")
-    members = shared.join(several, "key", "left_semi")
-    members = members.select("key", "id").unionByName(members.where("place = 1").select("key", F.col("lead").alias("id")))
-    members = checkpointed(members)
+    # keys with the same members say the same: of each set of members, one key is compared
+    marks = {"a": F.xxhash64("id"), "b": F.xxhash64("id", F.lit(1)), "c": F.xxhash64("lead"), "d": F.xxhash64("lead", F.lit(1))}
+    groups = shared.groupBy("key").agg(F.max("place").alias("places"), *[(F.bit_xor(h) if k in "ab" else F.first(h)).alias(k) for k, h in marks.items()]).where("places > 1")
+    several = groups.groupBy("places", F.col("a").bitwiseXOR(F.col("c")).alias("e"), F.col("b").bitwiseXOR(F.col("d")).alias("f")).agg(F.min("key").alias("key")).select("key")
+    members = checkpointed(shared.join(several, "key", "left_semi").select("key", "id", "lead", "place"))
+    # where signatures that share documents have more pairs among them than their documents have, these are compared as one group
+    family = checkpointed(components(members.where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v"))))
+    of_lead = family.select(F.col("id").alias("lead"), F.col("component").alias("family"))
+    keys = members.groupBy("key", "lead").agg((F.count(F.lit(1)) + 1).alias("g")).join(of_lead, "lead").select("key", "lead", "family", "g")
+    work = keys.groupBy("family").agg(F.sum(F.col("g").cast("double") * F.col("g") + GROUP_COST).alias("work"))
+    merged = family.groupBy(F.col("component").alias("family")).agg(F.count(F.lit(1)).alias("m")).join(work, "family").where(F.col("m").cast("double") * F.col("m") <= F.col("work")).select("family")
+    single = checkpointed(keys.join(merged, "family", "left_anti").select("key", "lead"))
+    alone = members.select("key", "id").join(single.select("key"), "key", "left_semi").unionByName(single.select("key", F.col("lead").alias("id")))
+    members = checkpointed(alone.unionByName(family.join(merged, F.col("component") == F.col("family"), "left_semi").select(F.col("component").alias("key"), "id")))
     tried = checkpointed(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
 
     def across(it: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
@@ -175,7 +188,7 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
         for g in _groups(it, 3):
             ids, part, size, half = (g.column(k).to_numpy() for k in ("id", "component", "n", "block"))
             held: list[tuple[np.ndarray, ...]] = []
-            for found in near_pairs(size, folded(g.column("sketch").to_pylist()), part, half, num, den):
+            for found in near_pairs(size, g.column("sketch").to_pylist(), part, half, num, den):
                 if whole:
                     yield rows(ids, *found[:2])
                     continue

@@ -145,13 +145,15 @@ def folded(sketches: list[bytes]) -> np.ndarray:
 _BLOCK = 512
 
 
-def near_pairs(sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, halves: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def near_pairs(sizes: np.ndarray, sketches: list[bytes], groups: np.ndarray, halves: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs (i, j) from different groups that sizes and sketches don't rule out, and how far below the bound each stays.
 
-    Where rows are of two halves, pairs lie across them, else anywhere. A block of rows by a block is compared at a time, word
-    by word, so memory does not grow with the rows or the sketches' length.
+    Where rows are of two halves, pairs lie across them, else anywhere. Rows are taken by size, and a block of them is compared with
+    a block at a time, at the smaller of their sketches' numbers of cells and word by word, so memory does not grow with the rows.
     """
-    first, second = np.flatnonzero(halves == halves.min()), np.flatnonzero(halves != halves.min())
+    order = np.argsort(sizes, kind="stable")
+    near = halves[order] == halves.min()
+    first, second = order[near], order[~near]
     alone = not len(second)
     if alone:
         second = first
@@ -159,9 +161,12 @@ def near_pairs(sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray, halv
         a = first[i : i + _BLOCK]
         for j in range(i if alone else 0, len(second), _BLOCK):
             b = second[j : j + _BLOCK]
+            if sizes[a[-1]] * den < sizes[b[0]] * num or sizes[b[-1]] * den < sizes[a[0]] * num:
+                continue
+            x = folded([sketches[k] for k in (*a, *b)])
             apart = np.zeros((len(a), len(b)), np.uint32)
-            for k in range(sketches.shape[1]):
-                apart += np.bitwise_count(sketches[a, k][:, None] ^ sketches[b, k][None, :])
+            for left, right in zip(x[: len(a)].T, x[len(a) :].T, strict=True):
+                apart += np.bitwise_count(left[:, None] ^ right[None, :])
             x, y = sizes[a, None], sizes[None, b]
             most = most_apart(x + y, num, den)
             ok = (apart <= most) & (np.minimum(x, y) * den >= np.maximum(x, y) * num) & (groups[a, None] != groups[None, b])
