@@ -72,6 +72,13 @@ def as_letters(piece: str) -> str:
     return piece.encode().decode("latin-1").translate(_LETTERS)
 
 
+_BYTES = {c: b for b, c in byte_letters().items()}
+
+
+def from_letters(piece: str) -> str:
+    return bytes(map(_BYTES.__getitem__, piece)).decode()
+
+
 def slices(lengths: Iterable[int], most: int) -> Iterable[tuple[int, int]]:
     """Runs [i, j) of rows with at most `most` in sum, or a single longer row."""
     start, total, j = 0, 0, -1

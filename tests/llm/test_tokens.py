@@ -8,14 +8,30 @@ from tokenizers import Tokenizer
 from docquarry.llm import packing, tokencount
 
 
-def test_counts_equal_the_library(small, odd, empty):
+ODD_TEXTS = ["日本語のテキスト。 日本", "Привет  мир\n\n x", "a<|endoftext|>b <|endoftext|>", "<|endoftext|><|endoftext|>", "<|x|> <| it's", "e\u0301 ﬁ ½ ٣ 😀😀 \u200b\u00a0x", "\x1c\x85\u2028 z", "dog's DOG'S 'll 12345"]
+
+
+def test_counts_equal_the_library(spark, small, odd, empty):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for df in (small, odd):
+    more = spark.createDataFrame([(i, x) for i, x in enumerate(ODD_TEXTS * 2)], "doc_id long, text string")
+    for df in (small, odd, more):
         want = Counter((r.doc_id, len((r.text or "").encode()), n := len(t.encode(r.text or "", add_special_tokens=False).ids), n > 512) for r in df.collect())
-        assert Counter(tuple(r) for r in tokencount.token_counts(df).collect()) == want
+        for head in (tokencount.HEAD_PARTS, 3):
+            assert Counter(tuple(r) for r in tokencount.token_counts(df, head_parts=head).collect()) == want
     assert tokencount.token_counts(empty).count() == 0
 
 
+def test_each_pre_token_is_counted_once(small):
+    """The table of distinct pre-tokens holds each once, with its frequency over all texts and the library's number of tokens."""
+    split, t = tokencount.splitter(tokencount.TOKENIZER), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter(p for r in small.collect() for p in split(r.text)[0])
+    rows = tokencount.piece_counts(small).collect()
+    assert len(rows) == len(want) and {r.part: r.n for r in rows} == want
+    assert all(r.pieces == len(t.encode(r.part, add_special_tokens=False).ids) for r in rows[:500])
+    plan = tokencount.token_counts(small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan
+
+
 def pieces_of(text):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
