@@ -58,24 +58,36 @@ def formatted(turns: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 def read_back(texts: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Turns (array of role, text structs, unescaped) of formatted texts: the inverse of formatted()."""
+    """key, formatted, mask, n_blocks and turns (array of role, body as it stands in the text, unescaped text): the inverse of formatted()."""
     blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda b: b != "")
 
     def turns(block: Column) -> Column:
         inner = F.substr(block, F.lit(len(START) + 1))
         role = unescape_role(F.substring_index(inner, "\n", 1))
         body = F.substr(inner, F.length(F.substring_index(inner, "\n", 1)) + 2)
-        return F.transform(F.split(body, r"<\|im_next\|>"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
+        return F.transform(F.split(body, r"<\|im_next\|>"), lambda t: F.struct(role.alias("role"), t.alias("body"), unescape(t).alias("text")))
 
-    return texts.select(key, "formatted", "n_blocks", F.flatten(F.transform(blocks, turns)).alias("turns"))
+    return texts.select(key, "formatted", "mask", F.size(blocks).alias("n_blocks"), F.flatten(F.transform(blocks, turns)).alias("turns"))
+
+
+def loss_text() -> Column:
+    """All text under the loss mask, unescaped, of what read_back() gives.
+
+    The mask's runs alternate between control strings and bodies (three runs a turn), so its second, fifth ... run covers the
+    next body that stands between control strings. A mask that does not cover the text run by run is an error.
+    """
+    runs = F.filter("mask", lambda r, i: i % 3 == 1)
+    covered = F.aggregate("mask", F.lit(0), lambda acc, r: acc + r["length"]) == F.length("formatted")
+    wrong = F.raise_error(F.lit("the loss mask does not fit its text"))
+    cut = F.zip_with("turns", runs, lambda t, r: F.when(F.length(t["body"]).eqNullSafe(r["length"]), F.when(r["loss"], unescape(t["body"])).otherwise("")).otherwise(wrong))
+    return F.when(covered, F.array_join(cut, "")).otherwise(wrong)
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """What is read back of each formatted conversation: counts and hashes of its turns and of its loss text."""
+    """What is read back of each formatted conversation: counts and hashes of its turns and of the text under its loss mask."""
     back = read_back(formatted(turns))
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == ANSWERS), lambda t: t["text"]), "")
-    read = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), loss.alias("q_loss"), F.length("formatted").cast("long").alias("formatted_chars"), F.col("n_blocks").cast("long").alias("n_blocks"))
+    read = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"), loss_text().alias("q_loss"), F.length("formatted").cast("long").alias("formatted_chars"), F.col("n_blocks").cast("long").alias("n_blocks"))
     return read.select("conv_id", "n_turns", "turns_sha256", F.length("q_loss").cast("long").alias("loss_chars"), F.sha2("q_loss", 256).alias("loss_sha256"), "formatted_chars", "n_blocks")
 
 

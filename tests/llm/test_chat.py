@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
 
 from docquarry.llm import chat
 
@@ -37,6 +39,17 @@ def test_round_trip(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_the_mask_decides(spark):
+    """Loss is what the mask covers: another mask gives other text, and one that does not fit is an error."""
+    rows = [(1, 0, "user", "a<|b"), (1, 1, "assistant", "c\\d"), (1, 2, "assistant", "")]
+    back = chat.read_back(chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    read = lambda change: back.withColumn("mask", F.transform("mask", change)).select(chat.loss_text().alias("x")).first().x
+    assert read(lambda r: r) == "c\\d"
+    assert read(lambda r: F.struct(r["length"].alias("length"), (~r["loss"]).alias("loss"))) == "a<|b"
+    with pytest.raises(Exception, match="does not fit"):
+        read(lambda r: F.struct((r["length"] + 1).alias("length"), r["loss"].alias("loss")))
+
+
 def test_hostile_conversation(spark):
     turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     hostile = [r for r in chat.digests(chat.with_hostile(turns)).collect() if r.conv_id == -1]
