@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -68,19 +69,54 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+#: Texts are near copies from a Jaccard similarity of NEAR / 100.
+NEAR = 80
+
+
+def partition_starts(num: int = NEAR, most: int = 1 << 31) -> list[int]:
+    """The least length of each partition of set lengths: each a factor 100 / num above the last, so that sets of that similarity lie in one partition or in neighbours."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, out[-1] * 100 // num + 1))
+    return out
+
+
+_STARTS = partition_starts()
+
+
+def partition_of(n: int) -> int:
+    """The partition of sets with n signatures; -1: none."""
+    return bisect.bisect_right(_STARTS, n) - 1
+
+
+def links(a: np.ndarray, b: np.ndarray, num: int = NEAR) -> bool:
+    """Whether sorted sets have a Jaccard similarity of num / 100 or more: neighbouring partitions first, then lengths, then
+    the overlap from the least signature on, until what is left can't reach the bound."""
+    if not len(a) or not len(b) or abs(partition_of(len(a)) - partition_of(len(b))) > 1 or min(len(a), len(b)) * 100 < num * max(len(a), len(b)):
+        return False
+    need, both = -(-num * (len(a) + len(b)) // (100 + num)), 0
+    for k in range(4):
+        x, y = (s[np.searchsorted(s, k << 30) : np.searchsorted(s, (k + 1) << 30)] for s in (a, b))
+        both += len(np.intersect1d(x, y, assume_unique=True))
+        end = (k + 1) << 30
+        if both + min(len(a) - np.searchsorted(a, end), len(b) - np.searchsorted(b, end)) < need:
+            return False
+    return both >= need
+
+
 def edit(text: str, other: str) -> str:
     """text with its last third replaced by as much of other's beginning, or all of it."""
     third = len(text) // 3
     return text[: len(text) - third] + other[:third]
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, length_partition int, edited_links boolean"
 
 
 def _row(ident, text: str, own: np.ndarray, after: str, after_own: np.ndarray) -> tuple:
     changed = edit(text, after)
     marks = own if changed == text else signatures(changed)
-    return ident, len(text), hashlib.sha256(changed.encode()).hexdigest(), encode(own), encode(marks), likeness(own, marks), likeness(own, after_own), len(own)
+    return ident, len(text), hashlib.sha256(changed.encode()).hexdigest(), encode(own), encode(marks), likeness(own, marks), likeness(own, after_own), len(own), partition_of(len(own)), links(own, marks)
 
 
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +136,14 @@ def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
-_TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]] for c in _OUT.split(", ")]
+_TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in _OUT.split(", ")]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures.
+    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures, length_partition, edited_links.
+
+    length_partition is that of the text's set of signatures (-1: empty); edited_links tells whether the edited text is a near copy, by
+    partitions and pruned Jaccard, as near_duplicates() links texts.
 
     The next document is that with the next smaller doc_id; after the last comes the first. Null texts count as empty, null
     ids come last, and rows with equal ids are ordered by their texts. A single row is its own next; an empty table gives no rows.
@@ -134,56 +173,54 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions(*order).mapInArrow(_runs, _OUT)
 
 
-def length_bands(n: int, num: int, den: int) -> list[int]:
-    """The set-length partitions in which a set with n signatures takes part: its own, and the next if a partner fits there.
-
-    Partition p holds the lengths from low(p) to low(p + 1) - 1, each a factor den / num above the last, so partners lie in the same or
-    the neighbouring partition.
-    """
-    low, p = 1, 0
-    while (after := max(low + 1, low * den // num + 1)) <= n:
-        low, p = after, p + 1
-    return [p, p + 1] if n * den >= num * after else [p]
-
+def near_duplicates(docs: DataFrame, num: int = NEAR) -> DataFrame:
+    """Per row: doc_id, component_id, over links of Jaccard num / 100 and more between signature sets.
 
-def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row: doc_id, component_id, over links of Jaccard num / den and more between signature sets.
+    Null and empty texts have no signatures and link with nothing; null ids keep a null component; rows that share an id are one node;
+    an empty table gives no rows.
 
-    Rows of equal sets are classes first. Each class's representative lists, in its length partitions, the signatures of its
-    rarest-first prefix (any linked pair shares one of them); lists are joined through their first member, and members of a list that
-    stay in different classes are compared among themselves, by lengths before sets.
+    Rows of equal sets are classes first. Each class's representative lists, in its length partition (and the next one if a partner may lie
+    there), the signatures of its rarest-first prefix: any linked pair shares one of them. Lists are joined through their first member;
+    members of a list that stay in different classes are then compared, where their lengths allow a link.
     """
     ship(docs.sparkSession)
 
     def sign(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             found = [signatures(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tolist() for s in found], pa.list_(pa.int64()))], ["id", "items"])
-
-    sets = checkpointed(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sign, "id long, items array<long>").where("size(items) > 0"))
-    first = sets.groupBy("items").agg(F.min("id").alias("v"), F.collect_set("id").alias("ids"))
-    copies = first.select(F.explode("ids").alias("u"), "v")
-    counts = first.select(F.explode("items").alias("item")).groupBy("item").count()
-    ranked = first.select("v", F.explode("items").alias("item"), F.size("items").alias("n")).join(counts, "item").groupBy("v", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "item"))), lambda x: x["item"]).alias("rare"))
-    bands = F.udf(lambda n: length_bands(n, num, den), "array<int>")
-    prefix = F.slice("rare", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1)
-    listed = checkpointed(ranked.select("v", F.explode(bands("n")).alias("band"), prefix.alias("prefix")).select("v", "band", F.explode("prefix").alias("item")))
-    reps = first.select("v", "items")
+            keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in found]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), pa.array([len(s) for s in found], pa.int32()), pa.array([s.tolist() for s in found], pa.list_(pa.int64()))], ["id", "key", "n", "items"])
+
+    def test(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ok = [links(np.array(x, _UINT32), np.array(y, _UINT32), num) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
+            yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
+
+    sets = checkpointed(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(sign, "id long, key string, n int, items array<long>").where("n > 0"))
+    first = sets.groupBy("key").agg(F.min("id").alias("v"))
+    copies = sets.select(F.col("id").alias("u"), "key").join(first, "key").where("u <> v").select("u", "v")
+    reps = checkpointed(sets.join(first, "key").where("id = v").select("v", "n", "items").dropDuplicates(["v"]))
+    items = reps.select("v", "n", F.explode("items").alias("item"))
+    ranked = items.join(items.groupBy("item").count(), "item").groupBy("v", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "item"))), lambda x: x["item"]).alias("rare"))
+    starts = F.array(*[F.lit(x).cast("long") for x in partition_starts(num)])
+    own = F.size(F.filter(starts, lambda x: x <= F.col("n"))) - 1
+    bands = F.when(F.col("n") * 100 >= F.get(starts, own + 1) * num, F.array(own, own + 1)).otherwise(F.array(own))
+    prefix = F.slice("rare", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / 100).cast("int") + 1)
+    listed = checkpointed(ranked.select("v", "n", F.explode(bands).alias("band"), prefix.alias("prefix")).select("v", "n", "band", F.explode("prefix").alias("item")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = F.size(F.array_intersect("a", "b"))
-        joined = pairs.join(reps.select(F.col("v").alias("u"), F.col("items").alias("a")), "u").join(reps.select("v", F.col("items").alias("b")), "v")
-        within = F.least(F.size("a"), F.size("b")) * den >= F.greatest(F.size("a"), F.size("b")) * num
-        return joined.where(within).where(both * den >= num * (F.size("a") + F.size("b") - both)).select("u", "v")
+        side = lambda x, y: reps.select(F.col("v").alias(x), F.col("items").alias(y))
+        return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").mapInArrow(test, "u long, v long")
 
     lead = listed.groupBy("band", "item").agg(F.min("v").alias("lead"))
     stars = listed.join(lead, ["band", "item"]).where("v <> lead").select(F.col("v").alias("u"), F.col("lead").alias("v")).distinct()
     edges = checkpointed(copies.unionByName(verified(stars)))
     found = checkpointed(components(edges))
-    named = listed.join(found, F.col("v") == F.col("id"), "left").select("band", "item", "v", F.coalesce("component", "v").alias("c"))
+    named = listed.join(found, F.col("v") == F.col("id"), "left").select("band", "item", "v", "n", F.coalesce("component", "v").alias("c"))
     open_lists = named.groupBy("band", "item").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band", "item")
     rest = named.join(open_lists, ["band", "item"], "left_semi")
-    other = rest.select("band", "item", F.col("v").alias("u"), F.col("c").alias("d"))
-    late = verified(rest.join(other, ["band", "item"]).where("c < d").select("u", "v").distinct())
+    other = rest.select("band", "item", F.col("v").alias("u"), F.col("c").alias("d"), F.col("n").alias("m"))
+    near = (F.least("m", "n") * 100 >= F.greatest("m", "n") * num) & (F.col("c") < F.col("d"))
+    late = verified(rest.join(other, ["band", "item"]).where(near).select("u", "v").distinct())
     found = components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(late))
     return docs.select("doc_id").join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

@@ -1,6 +1,8 @@
 import hashlib
 import itertools
 
+import numpy as np
+
 from docquarry.llm import spotsigs
 
 
@@ -15,6 +17,11 @@ def test_against_brute_force(small, odd, empty, spark):
             want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), spotsigs.encode(spotsigs.signatures(t)), spotsigs.encode(spotsigs.signatures(e)), round(j(s, es), 9), round(j(s, ns), 9)))
         got = [(*tuple(r)[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in spotsigs.fingerprints(df).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+        sets = {(r.doc_id, r.n_chars, r.edited_sha256): (spotsigs.decode(r.fingerprint), spotsigs.decode(r.edited_fingerprint), r.length_partition, r.edited_links) for r in spotsigs.fingerprints(df).collect()}
+        for a, b, place, linked in sets.values():
+            starts = spotsigs.partition_starts()
+            assert place == sum(x <= len(a) for x in starts) - 1
+            assert linked == (len(a) > 0 and len(b) > 0 and 100 * len(set(a.tolist()) & set(b.tolist())) >= 80 * len(set(a.tolist()) | set(b.tolist())))
         assert len(want) == 1 or sum(x[5] for x in want) > sum(x[6] for x in want)
     assert spotsigs.fingerprints(empty).count() == 0
 
@@ -45,3 +52,13 @@ def test_likeness_does_not_jump_with_the_number_of_spots():
     for more in (1, 2, 3):
         longer = f"{short} {' '.join(f'the up{k} down{k}' for k in range(more))}"
         assert spotsigs.likeness(spotsigs.signatures(short), spotsigs.signatures(longer)) > 0.75 * 7 / (7 + more)
+
+
+def test_pruned_jaccard_loses_nothing():
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        n = int(rng.choice([1, 2, 4, 5, 9, 10, 40, 300]))
+        base = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+        a, b = (np.unique(np.concatenate([base[rng.random(n) > 0.1], rng.integers(0, 1 << 32, int(rng.integers(0, n // 8 + 2)), dtype=np.uint32)])) for _ in range(2))
+        want = len(a) > 0 and len(b) > 0 and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        assert spotsigs.links(a, b) == want
