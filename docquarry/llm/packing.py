@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +28,17 @@ PLAIN = re.compile("[!-~¡-ÿ]+")
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def word_ids(name: str, user: str = "packing") -> Remembered:
-    """Little-endian 32-bit ids of white-space separated words.
+def word_encoder(name: str, user: str = "packing") -> Callable[[str], bytes]:
+    """Little-endian 32-bit ids of a white-space separated word.
 
     The tokenizer drops white space, its patterns never match across it and its special strings hold none, so a
-    text's ids are its words' ids in order. A new word's parts go straight to the tokenizer's merges.
+    text's ids are its words' ids in order. A word's parts go straight to the tokenizer's merges and are remembered.
     """
     import regex
 
     whole = tokenizer(name)
     merges, parts = whole.model, regex.compile(PARTS).findall
-
-    def part_ids(part: str) -> bytes:
-        return array("I", [t.id for t in merges.tokenize(as_letters(part))]).tobytes()
-
-    pieces = Remembered(part_ids)
+    pieces = kept_for(user, f"parts:{name}", lambda: Remembered(lambda part: array("I", [t.id for t in merges.tokenize(as_letters(part))]).tobytes()))
 
     def encode(word: str) -> bytes:
         if PLAIN.fullmatch(word) and "<|" not in word:
@@ -50,7 +46,12 @@ def word_ids(name: str, user: str = "packing") -> Remembered:
             return b"".join([pieces[p] for p in parts(word.lower())])
         return array("I", whole.encode(word, add_special_tokens=False).ids).tobytes()
 
-    return kept_for(user, f"word ids:{name}", lambda: Remembered(encode))
+    return encode
+
+
+def word_ids(name: str, user: str = "packing") -> Remembered:
+    """word_encoder() with the words remembered."""
+    return kept_for(user, f"word ids:{name}", lambda: Remembered(word_encoder(name, user)))
 
 
 def cut(batches: Iterable[pa.RecordBatch], name: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
