@@ -19,22 +19,22 @@ TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 #: The most frequent pre-tokens, whose piece counts every task holds (some 30 MB); the others' are joined by a shuffle.
 HEAD_PARTS = 200_000
-#: The tokenizer's own pre-token pattern, and the characters on whose classes all pattern libraries agree; texts with others are split by the tokenizer's splitter.
-PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-OTHER = "[^\\t\\n\\r -~¡-¬®-ɏ‐-‧‰-⁞₠-₿€]"
+#: The tokenizer's own pre-token pattern over the characters on whose classes all pattern libraries agree, with their letters and numbers
+#: written out; texts with other characters are split by the tokenizer's splitter.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+PRETOKENS = rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
+OTHER = "[^\t\n\r -~¡-¬®-ɏ‐-‧‰-⁞₠-₿€]"
 #: Stands before the number of a document's own row in the join, so that these rows spread evenly.
 _OWN = "\x00row "
 
 
 def splitter(name: str) -> Callable[[str | None], tuple[list[str], int]]:
     """A text's pre-tokens in order, and how many special strings stand between them (a token each)."""
-    import regex
-
     whole = tokenizer(name)
     special = sorted((t.content for t in whole.get_added_tokens_decoder().values()), key=len, reverse=True)
     cut = re.compile("|".join(map(re.escape, special))).split if special else lambda t: [t]
     marks = tuple(s[:2] for s in special)
-    find, other, slow = regex.compile(PRETOKENS).findall, regex.compile(OTHER).search, whole.pre_tokenizer.pre_tokenize_str
+    find, other, slow = re.compile(PRETOKENS).findall, re.compile(OTHER).search, whole.pre_tokenizer.pre_tokenize_str
 
     def one(text: str) -> list[str]:
         return [from_letters(p) for p, _ in slow(text)] if other(text) else find(text)
@@ -86,9 +86,13 @@ def token_counts(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT, hea
             own, rare = [], []
             for ident, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found, special = split(text)
-                times = Counter(found)
-                own.append((row, f"{_OWN}{row}", 0, ident, len((text or "").encode()), special + sum([n * known[p] for p, n in times.items() if p in known])))
-                rare += [(row, p, times[p], None, None, None) for p in times.keys() - known.keys()]
+                total = special
+                for p, n in Counter(found).items():
+                    if (pieces := known.get(p)) is None:
+                        rare.append((row, p, n, None, None, None))
+                    else:
+                        total += n * pieces
+                own.append((row, f"{_OWN}{row}", 0, ident, len((text or "").encode()), total))
                 row += 1
             cols = zip(*(own + rare), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), *[pa.int64()] * 4), strict=True)], ["row", "part", "tf", "doc_id", "n_bytes", "known"])
