@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.llm.ranking import positions
+from docquarry.operators.ranking import positions
 
 #: Bits per dimension of the curve.
 BITS = 5

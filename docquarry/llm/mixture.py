@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.llm.ranking import positions
+from docquarry.operators.ranking import positions
 from docquarry.runtime import checkpointed, join_small
 
 WEIGHTS = (5, 2, 1)

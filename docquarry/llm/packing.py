@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docquarry.llm.ranking import positions
+from docquarry.operators.ranking import positions
 from docquarry.llm.tokens import Remembered, as_letters, kept_for, tokenizer
 from docquarry.runtime import checkpointed, ship
 
