@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Separators of the retrieval tokenizer.
@@ -59,6 +59,34 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.concat(F.flatten(F.transform(words(text), parts)), words(text)))
 
 
+def han_grams(text: Column) -> Column:
+    """Distinct runs of Han characters, each before its parts of 2 to 4."""
+    runs = F.regexp_extract_all(text, F.lit("[一-鿿]+"), F.lit(0))
+    spans = lambda w, k: F.when(F.length(w) >= k, F.transform(F.sequence(F.lit(1), F.length(w) - k + 1), lambda i: F.substr(w, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(runs, lambda w: F.concat(F.array(w), spans(w, 2), spans(w, 3), spans(w, 4)))))
+
+
+def parts_of(text: Column, n: int) -> Column:
+    """All parts of n characters, in order: one pass over the text, whatever its length."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+def held_in(short: DataFrame, held: str, long: DataFrame, holder: str, n: int = 8) -> DataFrame:
+    """Pairs of rows whose column held may lie in holder: an equi-join of held's beginning (8 characters; n of shorter ones) with all parts of holder of that length.
+
+    No pair is lost where held has n characters or more; the caller tests the whole texts. The texts of a side are never compared with all of the other.
+    """
+
+    def met(some: DataFrame, k: int) -> DataFrame:
+        parts = F.array_distinct(parts_of(F.col(holder), k))
+        return some.withColumn("q_part", F.left(held, F.lit(k))).join(long.withColumn("q_part", F.explode(parts)), "q_part").drop("q_part")
+
+    size = F.length(held)
+    if n >= 8:
+        return met(short.where(size >= n), n)
+    return met(short.where(size >= 8), 8).unionByName(met(short.where((size >= n) & (size < 8)), n))
+
+
 def bucket(token: Column, dims: int = 128) -> Column:
     """A token's place in a hashed vector: the last byte of its MD5, modulo dims."""
     return (F.conv(F.right(F.md5(token), F.lit(2)), 16, 10).cast("int") % dims).cast("int")

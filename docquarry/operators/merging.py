@@ -32,6 +32,18 @@ def existing_wins(new: DataFrame, old: DataFrame, key: str, value: str) -> DataF
 
 
 def conflicts(facts: DataFrame, key: str, value: str, pos: str, most: int = 8) -> DataFrame:
-    """Keys with several distinct values: key, values (sorted), occurrences (the first ones' positions)."""
-    some = facts.groupBy(key).agg(F.sort_array(F.collect_set(F.col(value).cast("string"))).alias("values"), F.slice(F.sort_array(F.collect_list(pos)), 1, most).alias("occurrences"))
-    return some.where(F.size("values") > 1)
+    """Keys with several distinct values: key, values (sorted), occurrences (the first ones' positions; only so many are gathered)."""
+    some = facts.groupBy(key).agg(F.sort_array(F.collect_set(F.col(value).cast("string"))).alias("values")).where(F.size("values") > 1)
+    early = facts.withColumn("q_n", F.row_number().over(Window.partitionBy(key).orderBy(pos))).where(F.col("q_n") <= most)
+    return some.join(early.groupBy(key).agg(F.sort_array(F.collect_list(pos)).alias("occurrences")), key)
+
+
+def single_owner(scored: DataFrame, node: str, item: str, score: str) -> DataFrame:
+    """node, item: each item on the node with its best score, the smaller node if several have it; nodes left without any get a row with a null item.
+
+    One row per item survives a pre-aggregated maximum, so an item that every node is assigned makes no hot task.
+    """
+    best = scored.groupBy(item).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(node)).alias("n"))).alias("q_best"))
+    kept = best.select((-F.col("q_best.n")).alias(node), item)
+    empty = scored.select(node).distinct().join(kept.select(node).distinct(), node, "left_anti")
+    return kept.unionByName(empty.withColumn(item, F.lit(None).cast(scored.schema[item].dataType)))

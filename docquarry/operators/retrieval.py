@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.runtime import join_small
+from docquarry.runtime import checkpointed, join_small
 
 K1, B = 1.5, 0.75
 WEIGHTS = {"bm25": 0.70, "lexical": 0.20, "vector": 0.10}
@@ -19,19 +19,20 @@ def tokens(rows: DataFrame, key: str, text: str) -> DataFrame:
     return listed.select(key, F.size("q_tokens").alias("size"), F.explode("q_tokens").alias("token"))
 
 
-def hybrid_rank(queries: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
-    """queries: query_id, query_text; docs: doc_id, text. Top k per query: query_id, doc_id, rank, hybrid, bm25, lexical, vector.
+def hybrid_rank(queries: DataFrame, docs: DataFrame, k: int = 8, text: Column | None = None) -> DataFrame:
+    """queries: query_id, query_text; docs: doc_id, text (or whatever the expression `text` makes of their columns). Top k per query: query_id, doc_id, rank, hybrid, bm25, lexical, vector.
 
     Only tokens of some query pass the first join, so the document side shrinks to what queries ask for before it is
     shuffled; the query side is broadcast while it is small. Vectors meet by bucket, at most 128 rows per text, which
     finds every document with a cosine above zero. Ties in the rounded hybrid keep the smaller doc_id.
     """
-    q = tokens(queries, "query_id", "query_text").withColumnRenamed("size", "q_size").cache()
+    docs = docs.select("doc_id", (F.col("text") if text is None else text).alias("text"))
+    q = checkpointed(tokens(queries, "query_id", "query_text").withColumnRenamed("size", "q_size"))
     d = tokens(docs, "doc_id", "text")
     lengths = docs.select("doc_id", F.size(T.grams(F.coalesce("text", F.lit("")))).alias("size"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("avg")).first()
     n, mean = stats["n"], max(stats["avg"] or 0.0, 1.0)
-    asked = q.select("token").distinct()
+    asked = checkpointed(q.select("token").distinct())
     hits = join_small(d, asked, "token", "left_semi")
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -39,7 +40,7 @@ def hybrid_rank(queries: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
     pairs = hits.join(df, "token").join(q, "token").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("bm25"), F.count(F.lit(1)).alias("both"), F.max("size").alias("size"), F.max("q_size").alias("q_size"))
     vectors = lambda t, key: t.groupBy(key, T.bucket(F.col("token")).alias("bucket")).agg(F.count(F.lit(1)).alias("c")).select(key, "bucket", "c", F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(key))).alias("norm"))
     qv = vectors(q, "query_id").select("query_id", "bucket", F.col("c").alias("qc"), F.col("norm").alias("q_norm"))
-    cosine = join_small(vectors(d, "doc_id"), qv, "bucket").groupBy("query_id", "doc_id").agg((F.sum(F.col("c") * F.col("qc")) / F.max("norm") / F.max("q_norm")).alias("vector"))
+    cosine = join_small(vectors(d, "doc_id"), checkpointed(qv), "bucket").groupBy("query_id", "doc_id").agg((F.sum(F.col("c") * F.col("qc")) / F.max("norm") / F.max("q_norm")).alias("vector"))
     found = cosine.join(pairs, ["query_id", "doc_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     top = F.max("bm25").over(Window.partitionBy("query_id"))
     found = found.withColumn("bm25", F.col("bm25") / F.when(top > 0, top).otherwise(1.0))

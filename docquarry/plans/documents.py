@@ -113,20 +113,6 @@ def amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", V.amount(F.concat(F.lit("CNY "), F.abs(F.round("s_acctbal", 2)).cast("decimal(18,2)").cast("string"))).alias("amount"))
 
 
-@Q.plan(
-    "j2_dense_cosine",
-    "SELECT query, vec_id, n::INT AS n, score FROM (SELECT q.vec_id AS query, d.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 5) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 5) DESC, d.vec_id) AS n FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id) WHERE n <= 8",
-)
-def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth vector as a query against all vectors: the stated query set is broadcast in one block."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = vectors.withColumn("len", F.sqrt(dot(F.col("v"), F.col("v"))))
-    q = unit.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"), F.col("len").alias("q_len"))
-    pairs = unit.join(q, F.col("vec_id") != F.col("query")).select("query", "vec_id", F.round(dot(F.col("v"), F.col("qv")) / F.col("len") / F.col("q_len"), 5).alias("score"))
-    return pairs.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where("n <= 8").select("query", "vec_id", "n", "score")
-
-
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations and suppliers as one tree."""
     r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_regionkey").cast("long").alias("pos"), F.col("r_name").alias("name"))
@@ -159,11 +145,3 @@ def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conflict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merging.conflicts(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
     return found.select("o_custkey", F.array_join("values", ",").alias("vals"), F.array_join(F.transform("occurrences", lambda x: x.cast("string")), ",").alias("occ"))
-
-
-@Q.plan("c20_quote_block", "SELECT item_id, doc_id, score FROM (SELECT item_id, doc_id, 1000 + least(length(q), 200) AS score, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS n FROM (SELECT item_id, left(text, 60) AS q FROM benchmark), documents WHERE contains(documents.text, q)) WHERE n = 1")
-def quote_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document that holds a benchmark item's opening: the query set is broadcast while its size allows."""
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("q"))
-    hits = table(spark, sf_dir, "documents").join(quotes, F.col("text").contains(F.col("q")))
-    return hits.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.max(1000 + F.least(F.length("q"), F.lit(200))).alias("score"))

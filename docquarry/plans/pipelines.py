@@ -27,14 +27,6 @@ def block_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"))
 
 
-@Q.plan("c8_cover", "SELECT b.item_id, count(d.doc_id) AS covered_by FROM (SELECT item_id, lower(left(text, 40)) AS q FROM benchmark WHERE length(text) >= 4) b LEFT JOIN documents d ON contains(lower(d.text), q) GROUP BY 1")
-def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes = table(spark, sf_dir, "benchmark").where(F.length("text") >= 4).select("item_id", F.lower(F.left("text", F.lit(40))).alias("q"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    hits = docs.join(quotes, F.col("t").contains(F.col("q"))).groupBy("item_id").agg(F.count("doc_id").alias("n"))
-    return quotes.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("covered_by"))
-
-
 def ratio_udf(spark: SparkSession):
     """Similarity of two strings by matching blocks, 0 to 1: no built-in computes it, so it runs on Arrow batches."""
     ship(spark)
@@ -187,20 +179,10 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql("s4_backfill", "SELECT c_custkey, CASE WHEN c_nationkey < 3 THEN 'BUILDING' ELSE c_mktsegment END AS segment FROM @customer")
-sql("s5_soft_delete", "SELECT n_nationkey, n_regionkey = 2 OR n_nationkey = 7 AS deleted FROM @nation")
 sql("s6_exclusive_default", "SELECT s_suppkey, s_suppkey = 5 AS is_default FROM @supplier")
-sql("l3_append_child", "SELECT n_regionkey, max(n_nationkey) + 1 AS next_id FROM @nation GROUP BY n_regionkey")
 sql("l5_find_node", "SELECT min(n_nationkey) AS n FROM @nation WHERE n_name LIKE '%1%'")
-sql("l6_move_validation", "SELECT a.n_nationkey AS moved, b.n_nationkey AS target, a.n_nationkey <> b.n_nationkey AND a.n_regionkey <> b.n_regionkey AS allowed FROM @nation a JOIN @nation b ON a.n_regionkey < b.n_regionkey")
-sql("l8_shape_checks", "SELECT c_nationkey, count(*) AS members, count(*) = 1 AS orphan, max(length(c_name)) > 40 AS long FROM @customer GROUP BY c_nationkey")
-sql("t1_subtree_materials", "SELECT n_regionkey, count(s_suppkey) AS materials FROM @nation LEFT JOIN @supplier ON n_nationkey = s_nationkey GROUP BY n_regionkey")
 sql("t3_lookup_map", "SELECT o_custkey, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS latest FROM @orders GROUP BY o_custkey", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY o_custkey")
 sql("t5_fallback_chain", "SELECT d.doc_id, coalesce(CAST(l.toxic AS STRING), nullif(d.lang, 'en'), d.source) AS anchor FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id")
-sql(
-    "t6_page_set",
-    "SELECT l_orderkey, count(DISTINCT p) AS pages, min(p) AS first FROM (SELECT l_orderkey, explode(sequence(l_linenumber, CASE WHEN l_quantity <= 10 THEN l_linenumber + CAST(l_quantity AS INT) ELSE l_linenumber END)) AS p FROM @lineitem) x GROUP BY l_orderkey",
-    "SELECT l_orderkey, count(DISTINCT p) AS pages, min(p)::INT AS first FROM (SELECT l_orderkey, unnest(range(l_linenumber, 1 + CASE WHEN l_quantity <= 10 THEN l_linenumber + trunc(l_quantity)::INT ELSE l_linenumber END)) AS p FROM lineitem) x GROUP BY l_orderkey",
-)
 sql("t8_group_kind", "SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL' THEN 'technical' WHEN p_type LIKE '%BRASS' THEN 'business' ELSE 'other' END AS kind FROM @part")
 sql("t11_visible_selection", "SELECT o_orderkey FROM @orders WHERE o_orderstatus = 'O' AND o_custkey IN (SELECT c_custkey FROM @customer WHERE c_acctbal > 0)")
 sql("h2_outline_key", "SELECT p_partkey, replace(replace(lower(p_name), ' ', ''), '#', '') AS key FROM @part")
@@ -218,9 +200,6 @@ sql("k2_list_defaults", "SELECT doc_id, coalesce(quality, 1) AS mandatory, coale
 sql("k6_search_text", "SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type) AS search FROM @part")
 sql("k8_flatten", "SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM @conversations GROUP BY conv_id")
 sql("k9_summary", "SELECT doc_id, left(concat_ws('; ', lang, source, left(text, 80)), 260) AS summary FROM @documents")
-sql("m1_section_locate", "SELECT doc_id, rule FROM (SELECT doc_id, rule, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS n FROM (SELECT doc_id, 'table' AS rule, 1 AS p FROM @documents WHERE text LIKE '%|%' UNION ALL SELECT doc_id, 'contact', 2 FROM @documents WHERE text LIKE '%@%' UNION ALL SELECT doc_id, 'fallback', 3 FROM @documents) u) r WHERE n = 1")
-sql("m3_candidates", "SELECT doc_id FROM (SELECT doc_id, lang, n_chars, min(n_chars) OVER (PARTITION BY lang) AS least FROM @documents) d WHERE n_chars = least OR lang = 'en'")
-sql("m8_material_mapping", "SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'certificate' WHEN d.text LIKE '%|%' THEN 'template' WHEN d.n_chars > 2000 THEN 'supporting' ELSE 'manual' END AS material FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id")
 sql("m10_draft", "SELECT s_suppkey, concat('Supplier ', s_name, ' of nation ', CAST(s_nationkey AS STRING)) AS draft FROM @supplier")
 sql("a16_range_text", "SELECT doc_id, left(text, 6000) AS content FROM @documents")
 sql("a17_preview", "SELECT doc_id, left(text, 240) AS preview, length(text) - length(replace(text, '|', '')) AS bars FROM @documents")

@@ -48,3 +48,23 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("pos"), F.lit(1).alias("level"), F.col("n_name").alias("title"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("content"))
     return sinks.markdown(rows)
+
+
+# Grouping sets, set operations, pivots
+Q.sql("z_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM @lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+Q.sql("z_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM @orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+Q.sql("z_intersect", "SELECT c_nationkey AS k FROM @customer WHERE c_acctbal > 5000 INTERSECT SELECT s_nationkey FROM @supplier WHERE s_acctbal > 5000")
+
+
+@Q.plan("z_pivot", "SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase') AS purchases FROM events GROUP BY 1")
+def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events as columns; the kinds are named, so no pass looks for them."""
+    wide = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["view", "click", "purchase"]).count()
+    return wide.na.fill(0).select("user_id", F.col("view").alias("views"), F.col("click").alias("clicks"), F.col("purchase").alias("purchases"))
+
+
+@Q.plan("z_sliding", "SELECT s AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS s FROM events) GROUP BY ALL")
+def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a day, every twelve hours."""
+    w = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day", "12 hours").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select(F.col("w.start").alias("start"), "event_type", "n", "total")

@@ -22,15 +22,23 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
+#: Full stops inside numbers, and what may stand between a number and a name.
+DOTS = ".．"
+MARKS = ("、", ")", ":", "：")
+
+
 def outline(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pasted outlines: key, pos, number, name, parent_pos.
 
     A text counts as an outline with two numbered lines or more, and three in five of its non-empty lines numbered. A line's
     parent is the last earlier one that bears its number without the last part; without one it is a root.
     """
-    rows = lines(docs, key, text).where(F.trim("line") != "")
-    rows = rows.withColumn("number", F.regexp_replace(F.regexp_extract("line", r"^\s*([0-9]+(?:[.．][0-9]+)*)\s*(?:[、.．):：]\s*)?\S", 1), "．", "."))
-    rows = rows.withColumn("name", F.regexp_replace(F.trim(F.regexp_extract("line", r"^\s*[0-9]+(?:[.．][0-9]+)*\s*(?:[、.．):：]\s*)?(\S.*)$", 1)), r"[:：\s]+$", ""))
+    rows = lines(docs, key, text).withColumn("line", F.trim(F.regexp_replace("line", r"\s", " "))).where(F.col("line") != "")
+    lead = F.regexp_extract("line", f"^[0-9{DOTS}]+", 0)  # digits and dots, of which those at the end only part the number from the name
+    number = F.rtrim(F.translate(lead, DOTS, "." * len(DOTS)), F.lit("."))
+    rest = F.ltrim(F.substr("line", F.length(lead) + 1))
+    name = F.when(F.left(rest, F.lit(1)).isin(*MARKS), F.substr(rest, F.lit(2))).otherwise(rest)
+    rows = rows.withColumn("number", F.when(F.exists(F.split(number, "[.]"), lambda p: p == ""), "").otherwise(number)).withColumn("name", F.rtrim(F.trim(name), F.lit(":： ")))
     hit = (F.col("number") != "") & (F.col("name") != "")
     whole = Window.partitionBy(key)
     rows = rows.withColumn("q_hits", F.count_if(hit).over(whole)).withColumn("q_lines", F.count(F.lit(1)).over(whole))
