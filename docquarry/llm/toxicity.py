@@ -19,7 +19,7 @@ from docquarry.runtime import checkpointed, ship
 #: Labelled rows to learn from: those with the smallest hashes of doc_id.
 LABELLED_ROWS = 10_000
 #: Voters mined from them at most, beside the fixed ones.
-MINED = 300
+MINED, MINED_CLEAN = 300, 60
 #: Lengths of the word beginnings that may vote, and the fewest toxic rows a mined voter fires on.
 BEGINNINGS, SUPPORT = (4, 5, 6), 3
 THRESHOLD = 0.7
@@ -28,6 +28,15 @@ INSULTS = (
     "asshole", "bastard", "bitch", "cabrón", "clown", "connard", "crétin", "disgusting", "dumb", "estúpido", "freak", "garbage", "gilipollas", "hate", "idiot", "idiota", "idiote", "imbecile", "imbécil", "jerk",
     "loser", "moron", "pathetic", "salaud", "scum", "stupid", "trash", "ugly", "worthless", "abschaum", "arschloch", "blöd", "dumm", "trottel",
 )
+#: Patterns, each a voter: shouting, repeated marks, letters hidden behind stars, an insult behind an address, an insult repeated.
+_ANY = "|".join(sorted(INSULTS))
+PATTERNS = {
+    "shouting": r"(?:\b[A-ZÀ-Þ]{3,}\b\W+){2}\b[A-ZÀ-Þ]{3,}\b", "marks": r"[!?]{3,}", "stars": r"\b\w+\*{2,}\w*",
+    "address": rf"(?i)\b(?:you|your|tu|toi|vous|du|ihr|tú|eres)\b(?:\W+\w+){{0,3}}?\W+(?:{_ANY})\b", "again": rf"(?i)\b({_ANY})\b.{{0,80}}\b\1\b",
+}
+_PATTERNS = {f"#{k}": re.compile(v, re.S) for k, v in PATTERNS.items()}
+#: Before the name of a mined voter that votes for clean.
+CLEAN = "-"
 _WORDS = re.compile(r"\w+")
 
 
@@ -42,14 +51,16 @@ def features(text: str | None) -> set[str]:
 
 @dataclass
 class Voters:
-    """Which words and beginnings vote, and the place of each."""
+    """Which words, beginnings and patterns vote, for toxic or (behind CLEAN) for clean, and the place of each; one that doesn't fire abstains."""
 
     names: list[str]
 
     def __post_init__(self) -> None:
-        place = {v: i for i, v in enumerate(self.names)}
+        place = {v.removeprefix(CLEAN): i for i, v in enumerate(self.names)}
+        self.toxic = np.array([not v.startswith(CLEAN) for v in self.names])
         self.words = {v[1:]: i for v, i in place.items() if v[0] == "="}
-        self.starts = [(n, {v[:-1]: i for v, i in place.items() if v[0] != "=" and len(v) == n + 1}) for n in BEGINNINGS]
+        self.patterns = [(i, _PATTERNS[v].search) for v, i in place.items() if v[0] == "#"]
+        self.starts = [(n, {v[:-1]: i for v, i in place.items() if v[0] not in "=#" and len(v) == n + 1}) for n in BEGINNINGS]
         self.starts = [(n, s) for n, s in self.starts if s]
 
     def fired(self, text: str | None) -> set[int]:
@@ -57,6 +68,7 @@ class Voters:
         out = {self.words[w] for w in words & self.words.keys()}
         for n, starts in self.starts:
             out.update(starts[s] for s in {w[:n] for w in words} & starts.keys())
+        out.update(i for i, found in self.patterns if text and found(text))
         return out
 
 
@@ -80,15 +92,16 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15) -> LabelModel:
-    """Expectation maximisation; votes: rows x voters, of which the last is the given label itself, an error-prone voter."""
+def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 15, toxic: np.ndarray | None = None) -> LabelModel:
+    """Expectation maximisation; votes: rows x voters, of which the last is the given label itself, an error-prone voter. toxic: which voters vote for it (all)."""
+    sign = np.ones(votes.shape[1], bool) if toxic is None else np.append(toxic, True)
     q = np.where(labels > 0, 0.9, 0.1)
     model = None
     for _ in range(rounds):
         mass = np.stack([1 - q, q])
         rates = (mass @ votes + 0.05) / (mass.sum(1, keepdims=True) + 1)
         rates = np.clip(rates, 1e-4, 1 - 1e-4)
-        rates[1] = np.maximum(rates[1], rates[0])  # every voter votes for toxic
+        rates[1] = np.where(sign, np.maximum(rates[1], rates[0]), np.minimum(rates[1], rates[0]))  # a voter never speaks against its side
         rest = votes - (rates[1] * q[:, None] + rates[0] * (1 - q)[:, None])
         cov = rest.T @ rest / len(votes)
         spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
@@ -123,12 +136,13 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         hit = self.voters.fired(text)
-        z = self.weights[list(hit)].sum() + self.weights[-2] * math.log1p(len(hit)) + self.weights[-1]
+        z = self.weights[list(hit)].sum() + self.weights[-2] * math.log1p(sum(self.voters.toxic[i] for i in hit)) + self.weights[-1]
         return float(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))))
 
 
-def inputs(votes: np.ndarray) -> np.ndarray:
-    return np.hstack([votes, np.log1p(votes.sum(1, keepdims=True))])
+def inputs(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Votes, and the logarithm of how many are for toxic."""
+    return np.hstack([votes, np.log1p(votes[:, toxic].sum(1, keepdims=True))])
 
 
 def learnable(labels: DataFrame, rows: int) -> DataFrame:
@@ -138,7 +152,7 @@ def learnable(labels: DataFrame, rows: int) -> DataFrame:
 
 
 def mine(rows: DataFrame) -> list[str]:
-    """The words and beginnings that toxic rows have significantly more often: G2 above what chance gives the best of all."""
+    """The words and beginnings that toxic rows, or (behind CLEAN) clean ones, have significantly more often: G2 above what chance gives the best of all."""
 
     def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -158,9 +172,10 @@ def mine(rows: DataFrame) -> list[str]:
     share = toxic / (clean + toxic)
     n = F.col("t") + F.col("c")
     part = lambda k, e: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * e))).otherwise(0.0)
-    scored = found.withColumn("g", 2 * (part("t", share) + part("c", 1 - share))).where(F.col("t") / toxic > 4 * F.col("c") / clean)
+    scored = found.withColumn("g", 2 * (part("t", share) + part("c", 1 - share)))
     least = 2 * math.log(max(2, found.count())) + 2
-    return [r.feature for r in scored.where(F.col("g") > least).where(f"t >= {SUPPORT}").orderBy(F.desc("g"), "feature").limit(MINED).collect()]
+    sides = ((F.col("t") / toxic > 4 * F.col("c") / clean) & (F.col("t") >= SUPPORT), MINED, ""), ((F.col("c") / clean > 4 * F.col("t") / toxic) & (F.col("c") >= SUPPORT), MINED_CLEAN, CLEAN)
+    return [mark + r.feature for side, most, mark in sides for r in scored.where(F.col("g") > least).where(side).orderBy(F.desc("g"), "feature").limit(most).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Scorer:
@@ -182,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Scorer
     train = train.groupBy("q_like").agg(F.min(F.struct((-F.col("toxic")).alias("t"), F.coalesce("text", F.lit("")).alias("text"))).alias("q_row"))
     train = checkpointed(train.select("q_row.text", (-F.col("q_row.t")).alias("toxic")))
     mined = mine(train)
-    voters = Voters([*(f"={w}" for w in INSULTS), *(v for v in mined if v[1:] not in INSULTS)])
+    voters = Voters([*(f"={w}" for w in INSULTS), *_PATTERNS, *(v for v in mined if v[1:] not in INSULTS)])
 
     def vote(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -193,12 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Scorer
     for i, r in enumerate(got):
         votes[i, r.hits] = 1
     if not given.any() or given.all():
-        return Scorer(voters, np.array([4.0] * len(voters.names) + [0.5, -2.5]))
+        return Scorer(voters, np.array([0.0 if v[0] == "#" else 4.0 for v in voters.names] + [0.5, -2.5]))
     votes[:, -1] = given
     order = np.lexsort(votes.T)  # sums then don't depend on the order of partitions
     votes, given = votes[order], given[order]
-    q = fit_label_model(votes, given).posterior(votes)
-    return Scorer(voters, fit_linear(inputs(votes[:, :-1]), q))
+    q = fit_label_model(votes, given, toxic=voters.toxic).posterior(votes)
+    return Scorer(voters, fit_linear(inputs(votes[:, :-1], voters.toxic), q))
 
 
 def scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -44,3 +44,33 @@ def test_label_model_discounts_copies():
     assert model.shared[0] > 2 > model.shared[3]
     assert abs(model.rates[1][0] - 0.7) < 0.05 and abs(model.rates[0][3] - 0.1) < 0.05
     assert np.mean((model.posterior(np.stack([a, a, a, b, c, given], 1)) > 0.5) == (y > 0)) > 0.93
+
+
+def test_voters_against_brute_force(spark):
+    """Each voter fires where its word, beginning or pattern stands, found by going through the text for every voter."""
+    import re
+
+    names = ["=idiot", "-=kind", "stup*", "-than*", "worthl*", *(f"#{k}" for k in toxicity.PATTERNS)]
+    voters = toxicity.Voters(names)
+    texts = [None, "", "You are such an IDIOT, idiot!!!", "thanks, kind soul", "STUPID AND UGLY", "what the f**k", "stupid worthless loser and again loser", "kindness"]
+
+    def fires(name, text):
+        bare, words = name.removeprefix("-"), re.findall(r"\w+", (text or "").lower())
+        if bare[0] == "#":
+            return re.search(toxicity.PATTERNS[bare[1:]], text or "", re.S) is not None
+        return bare[1:] in words if bare[0] == "=" else any(w.startswith(bare[:-1]) for w in words)
+
+    for t in texts:
+        assert voters.fired(t) == {i for i, n in enumerate(names) if fires(n, t)}, t
+    assert voters.toxic.tolist() == [n[0] != "-" for n in names]
+
+
+def test_a_clean_voter_lowers_the_posterior():
+    rng = np.random.default_rng(2)
+    y = (rng.random(4000) < 0.3).astype(float)
+    bad, good = (rng.random(len(y)) < np.where(y > 0, *p) for p in ((0.6, 0.05), (0.02, 0.4)))
+    given = np.where(rng.random(len(y)) < 0.85, y, 1 - y)
+    votes = np.stack([bad, good, given], 1).astype(float)
+    model = toxicity.fit_label_model(votes, given, toxic=np.array([True, False]))
+    a, b = model.posterior(np.array([[0, 0, 0], [0, 1, 0]], float))
+    assert b < a and model.rates[1][1] <= model.rates[0][1] and model.rates[1][0] >= model.rates[0][0]
