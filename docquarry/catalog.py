@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from docquarry.plans import assembly, documents, extraction, pipelines, relational, rules, streams
+from docquarry.plans import assembly, documents, evidence, extraction, pipelines, relational, rules, streams
 from docquarry.plans.query import narrowed, widened
 
-PARTS = (documents.Q, extraction.Q, pipelines.Q, relational.Q, streams.Q, assembly.Q, rules.Q)
+PARTS = (documents.Q, extraction.Q, pipelines.Q, relational.Q, streams.Q, assembly.Q, rules.Q, evidence.Q)
 #: Lengths, places and ranks, which are 32-bit in Spark and 64-bit in DuckDB.
 WIDE = {
     "a1_line_scan": ("pos",), "a3_fragment_merge": ("page", "page_end"), "a8_section_scan": ("start_block", "end_block"), "a14_page_scan": ("n",), "a17_preview": ("bars",),
-    "c4_lookup_topn": ("n",), "c15_next_bounded": ("next_click",), "c20_quote_block": ("score",), "c22_marker_spans": ("marker", "span_end"), "d21_preamble_bounds": ("lo", "hi"),
-    "e12_gap_close": ("lo", "hi"), "f1_topk": ("n",), "f2_multi_key_order": ("place",), "f8_best_heading": ("heading",), "h14_no_urls": ("n",), "h17_char_count": ("n",),
-    "h20_table_lines": ("bars",), "k7_keywords": ("n",), "m5_index_table": ("pos", "cells"), "t4_best_anchor": ("score",),
+    "c4_lookup_topn": ("n",), "c15_next_bounded": ("next_click",), "c20_quote_block": ("score",), "d21_preamble_bounds": ("lo", "hi"),
+    "e12_gap_close": ("lo", "hi"), "f1_topk": ("n",), "f2_multi_key_order": ("place",), "h14_no_urls": ("n",), "h17_char_count": ("n",),
+    "h20_table_lines": ("bars",), "k7_keywords": ("n",), "t4_best_anchor": ("score",),
 }
 QUERIES = {name: widened(plan, WIDE[name]) if name in WIDE else plan for part in PARTS for name, plan in part.plans.items()}
 ORACLES = {name: narrowed(text) for part in PARTS for name, text in part.oracles.items()}

@@ -9,6 +9,7 @@ from docquarry.functions import text as T
 from docquarry.functions import values as V
 from docquarry.operators import merging, retrieval, sections, trees
 from docquarry.plans.query import Catalog, table
+from docquarry.sources.readers import lines
 
 Q = Catalog()
 
@@ -25,11 +26,6 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.explode(words).alias("token")).where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """Line scan: a row per line, position from 0."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-
-
 @Q.plan("a1_line_scan", "SELECT doc_id, i - 1 AS pos, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)")
 def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(table(spark, sf_dir, "documents"))
@@ -81,7 +77,7 @@ def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.translate(T.match_key(F.col("c_name")), "#", "").alias("key"))
 
 
-@Q.plan("h5_heading_level")
+@Q.plan("h5_heading_level", "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT level, count(*) AS n FROM (SELECT CASE WHEN length(line) > 80 OR (length(line) BETWEEN 31 AND 80 AND regexp_matches(line, '[.;!?。；！？]$')) THEN 0 WHEN regexp_matches(line, '^(Chapter|CHAPTER) [0-9]|^第[0-9一二三四五六七八九十]+章') THEN 1 WHEN regexp_matches(line, '^[一二三四五六七八九十]+、|^[0-9]+[.)]? ') THEN 2 WHEN regexp_matches(line, '^[(（][0-9一二三四五六七八九十]+[)）]') THEN 3 WHEN regexp_matches(line, '^[0-9]+[.][0-9]+[.)]? ') THEN 2 WHEN regexp_matches(line, '^[0-9]+[.][0-9]+[.][0-9]+[.)]? ') THEN 3 WHEN regexp_matches(line, '^[0-9]+([.][0-9]+)+[.)]? ') THEN 4 ELSE 0 END AS level FROM l) GROUP BY 1")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(table(spark, sf_dir, "documents")).groupBy(T.heading_level(F.col("line")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -91,7 +87,7 @@ def token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(T.grams(F.col("text"))).cast("long").alias("n"))
 
 
-@Q.plan("h12_doubled")
+@Q.plan("h12_doubled", "SELECT c_custkey, c_mktsegment AS segment FROM customer")
 def doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = F.regexp_replace("c_mktsegment", "(.)", "$1$1")
     return table(spark, sf_dir, "customer").select("c_custkey", T.collapse_doubled(twice).alias("segment"))

@@ -21,40 +21,29 @@ _SEQ = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id
 
 # Scans
 sql("a8_section_scan", f"SELECT user_id, n AS start_block, lead(n) OVER (PARTITION BY user_id ORDER BY n) AS end_block FROM {_SEQ} e WHERE event_type = 'signup'")
-sql("a9_bundle_scan", "SELECT page_id, CASE WHEN url LIKE '%.png' THEN 'image/png' WHEN url LIKE '%.jpg' THEN 'image/jpeg' ELSE 'other' END AS kind FROM @pages")
 sql("a10_project_scan", "SELECT coalesce(d.doc_id, l.doc_id) AS id, d.source, l.quality FROM @documents d FULL OUTER JOIN @labels l ON d.doc_id = l.doc_id ORDER BY id DESC LIMIT 500")
 sql("a11_template_library", "SELECT r_regionkey, count(n_nationkey) AS chapters FROM @region LEFT JOIN @nation ON r_regionkey = n_regionkey GROUP BY r_regionkey")
-sql("a12_policy_merge", "SELECT d.k, coalesce(p.v, d.v) AS v FROM (SELECT 'image' AS k, 3 AS v UNION ALL SELECT 'report', 2 UNION ALL SELECT 'other', 3) d LEFT JOIN (SELECT 'report' AS k, 5 AS v) p ON p.k = d.k")
 sql("a14_page_scan", "SELECT page_id, length(html) AS n, lower(left(html, 60)) AS head FROM @pages")
 sql("a18_table_scan", "SELECT s_suppkey, s_name FROM @supplier WHERE s_acctbal >= 0")
 
 # Predicates
-sql("b21_generation_skip", "SELECT d.doc_id FROM @documents d WHERE NOT EXISTS (SELECT 1 FROM @labels l WHERE l.doc_id = d.doc_id) AND d.source NOT IN ('src1', 'src2')")
-sql("b22_toc_pages", "SELECT doc_id FROM @documents WHERE length(text) - length(replace(text, '.', '')) > length(text) / 40")
 
 # Joins
-sql("c22_marker_spans", f"SELECT user_id, n AS marker, coalesce(lead(n) OVER (PARTITION BY user_id ORDER BY n) - 1, last) AS span_end FROM (SELECT *, max(n) OVER (PARTITION BY user_id) AS last FROM {_SEQ} e) x WHERE event_type IN ('signup', 'purchase')")
-sql("c23_child_reconcile", "SELECT n_nationkey AS id, n_regionkey AS parent FROM @nation UNION ALL SELECT 1000 + r_regionkey, r_regionkey FROM @region r WHERE NOT EXISTS (SELECT 1 FROM @nation n WHERE n.n_regionkey = r.r_regionkey AND n.n_name LIKE '%1%')")
-sql("c24_prior_evidence", "SELECT o.o_orderkey, coalesce(nullif(o.o_orderstatus, 'P'), p.o_orderstatus) AS status FROM @orders o LEFT JOIN @orders p ON p.o_orderkey = o.o_orderkey - 1 AND p.o_orderstatus <> 'P'")
 sql("c25_citation_allow", "SELECT e.event_id FROM @events e LEFT SEMI JOIN @documents d ON e.event_id = d.doc_id", "SELECT e.event_id FROM events e SEMI JOIN documents d ON e.event_id = d.doc_id")
 
 # Aggregates
 sql("d22_latest_group", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) DESC) AS y FROM @orders) o WHERE y = 1")
-sql("d23_media_counts", "SELECT o.o_orderkey, count(CASE WHEN l.l_returnflag = 'R' THEN 1 END) AS images, count(CASE WHEN l.l_linestatus = 'O' THEN 1 END) AS tables FROM @orders o LEFT JOIN @lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber BETWEEN 2 AND 5 GROUP BY o.o_orderkey")
 
 # Ranks
 sql("f4_candidates_3_5", "SELECT p_brand, p_partkey, kind FROM (SELECT p_brand, p_partkey, p_size % 2 AS kind, row_number() OVER (PARTITION BY p_brand, p_size % 2 ORDER BY p_retailprice DESC, p_partkey) AS n FROM @part) p WHERE n <= CASE kind WHEN 0 THEN 3 ELSE 5 END")
 sql("f6_related_top", "SELECT user_id, event_type, hits FROM (SELECT user_id, event_type, count(*) AS hits, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS n FROM @events GROUP BY user_id, event_type) e WHERE n <= 5")
-sql("f8_best_heading", f"SELECT user_id, max_by(n, struct(CAST(event_type = 'signup' AS INT) * 10 + CAST(event_type = 'view' AS INT), n)) AS heading FROM {_SEQ} e GROUP BY user_id", "SELECT user_id, arg_max(n, ((event_type = 'signup')::INT * 10 + (event_type = 'view')::INT, n)) AS heading FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) e GROUP BY user_id")
 
 # Texts
-sql("i2_datetime_phrase", "SELECT o_orderkey, regexp_extract(concat('due ', CAST(year(o_orderdate) AS STRING), '-', CAST(month(o_orderdate) AS STRING), '-', CAST(day(o_orderdate) AS STRING), ' noon'), '([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})', 1) AS phrase FROM @orders")
 sql("k11_known_paths", "SELECT event_id, coalesce(get_json_object(props, '$.k'), 'none') AS k, get_json_object(props, '$.missing') IS NULL AS absent FROM @events", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, json_extract_string(props, '$.missing') IS NULL AS absent FROM events")
 
 # Reports
 sql("l9_source_priority", "SELECT doc_id, coalesce(CASE WHEN text LIKE '% | %' THEN 'table' END, CASE WHEN text LIKE '%###%' THEN 'heading' END, 'text') AS origin FROM @documents")
 sql("m6_substantive", "SELECT doc_id, text LIKE '%|%' OR length(text) >= 60 AS substantive FROM @documents")
-sql("m9_context", "SELECT user_id, max(value) AS confidence, count(*) AS hits, count_if(value >= 60) AS strong FROM @events GROUP BY user_id HAVING count(*) > 1")
 sql("o2_state_reducers", "SELECT user_id, max_by(event_type, struct(ts, event_id)) AS last_status, count_if(event_type = 'error') AS warnings FROM @events GROUP BY user_id", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_status, count_if(event_type = 'error') AS warnings FROM events GROUP BY user_id")
 sql("q6_heading_policy", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 1 WHEN p_size > 20 THEN 2 ELSE 3 END AS heading_level FROM @part")
 sql("s2_tree_outline", "SELECT concat(repeat('    ', 1), CAST(n_nationkey AS STRING), '. ', n_name) AS line FROM @nation")
@@ -69,7 +58,7 @@ def best_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min_by("pos", F.struct(-F.col("score"), F.col("pos"))).cast("long").alias("pos"))
 
 
-@Q.plan("e16_repeat_headings")
+@Q.plan("e16_repeat_headings", 'WITH RECURSIVE l AS (SELECT doc_id, i - 1 AS pos, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)), r AS (SELECT doc_id, pos, trim(line) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM l WHERE length(trim(line)) BETWEEN 1 AND 80), f AS (SELECT doc_id, k, pos, t AS last, true AS kept FROM r WHERE k = 1 UNION ALL SELECT doc_id, k, pos, CASE WHEN ok THEN t ELSE last END, ok FROM (SELECT r.*, f.last, NOT (r.t = f.last OR length(r.t) >= 6 AND contains(f.last, r.t)) AS ok FROM f JOIN r ON r.doc_id = f.doc_id AND r.k = f.k + 1)) SELECT doc_id, pos::INT AS pos FROM f WHERE kept')
 def repeat_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings that repeat the last kept one become body: a fold per document, as the last kept heading depends on all before."""
     rows = lines(table(spark, sf_dir, "documents")).where(F.length(F.trim("line")).between(1, 80)).select("doc_id", "pos", F.trim("line").alias("t"))
@@ -83,7 +72,7 @@ def repeat_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("doc_id", F.explode(F.aggregate("x", start, step, lambda acc: acc["kept"])).alias("pos"))
 
 
-@Q.plan("h13_line_merge")
+@Q.plan("h13_line_merge", "WITH l AS (SELECT doc_id, i - 1 AS pos, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)), r AS (SELECT *, coalesce(regexp_matches(lag(line) OVER (PARTITION BY doc_id ORDER BY pos), '[.!?:]$'), true) AS brk FROM l WHERE trim(line) <> ''), p AS (SELECT *, sum(brk::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS para FROM r) SELECT doc_id, para::BIGINT AS para, string_agg(line, ' ' ORDER BY pos) AS text FROM p GROUP BY doc_id, para")
 def line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines joined to paragraphs: a line that doesn't end a sentence goes on in the next one."""
     rows = lines(table(spark, sf_dir, "documents")).where(F.trim("line") != "")
@@ -93,7 +82,7 @@ def line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return para.groupBy("doc_id", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("text"))
 
 
-@Q.plan("j5_bigram_cosine")
+@Q.plan("j5_bigram_cosine", 'WITH g AS (SELECT s_suppkey, s_nationkey, substr(k, i, 2) AS g, count(*) AS c FROM (SELECT s_suppkey, s_nationkey, lower(s_name) AS k, unnest(range(1, length(s_name))) AS i FROM supplier) GROUP BY ALL), n AS (SELECT s_suppkey, sqrt(sum(c * c)) AS norm FROM g GROUP BY 1) SELECT a.s_suppkey, b.s_suppkey AS other, round(sum(a.c * b.c) / max(x.norm) / max(y.norm), 6) AS cosine FROM g a JOIN g b ON a.s_nationkey = b.s_nationkey AND a.g = b.g AND a.s_suppkey < b.s_suppkey JOIN n x ON x.s_suppkey = a.s_suppkey JOIN n y ON y.s_suppkey = b.s_suppkey GROUP BY 1, 2')
 def bigram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of character-bigram counts between suppliers' names of one nation, by a join on bigrams."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", T.match_key(F.col("s_name")).alias("k"))

@@ -18,15 +18,6 @@ Q = Catalog()
 sql = Q.sql
 
 
-@Q.plan("c5_block_range", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, array_to_string(l[2:4], chr(10)) AS content FROM l WHERE len(l) >= 2")
-def block_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines 1 to 3 of each document, joined by a range on (document, position) and put together in order."""
-    rows = lines(table(spark, sf_dir, "documents"))
-    spans = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("lo"), F.lit(3).alias("hi"))
-    hits = rows.join(spans, "doc_id").where(F.col("pos").between(F.col("lo"), F.col("hi")))
-    return hits.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("content"))
-
-
 def ratio_udf(spark: SparkSession):
     """Similarity of two strings by matching blocks, 0 to 1: no built-in computes it, so it runs on Arrow batches."""
     ship(spark)
@@ -110,7 +101,7 @@ def scored_answers(spark: SparkSession, c: DataFrame) -> DataFrame:
     return pairs.select("conv_id", "turn", "answer", F.round(score, 4).alias("score"))
 
 
-@Q.plan("e13_greedy_batches")
+@Q.plan("e13_greedy_batches", 'WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k FROM conversations), f AS (SELECT conv_id, turn, k, n AS size, 0 AS batch FROM t WHERE k = 1 UNION ALL SELECT t.conv_id, t.turn, t.k, CASE WHEN f.size > 0 AND f.size + t.n > 2000 THEN t.n ELSE f.size + t.n END, f.batch + (f.size > 0 AND f.size + t.n > 2000)::INT FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1) SELECT conv_id, turn, batch FROM f')
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation dealt to batches in order, a batch closing when the next turn would pass 2000 characters: a fold."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("t"))
@@ -124,7 +115,7 @@ def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", F.explode(F.aggregate("t", start, step, lambda acc: acc["out"])).alias("x")).select("conv_id", "x.turn", "x.batch")
 
 
-@Q.plan("e14_budget_selection")
+@Q.plan("e14_budget_selection", "WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY (role <> 'user')::INT, length(text), turn) AS k FROM conversations), f AS (SELECT conv_id, turn, k, n AS size, true AS took FROM t WHERE k = 1 UNION ALL SELECT t.conv_id, t.turn, t.k, CASE WHEN f.size + t.n <= 1500 THEN f.size + t.n ELSE f.size END, f.size + t.n <= 1500 FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1) SELECT conv_id, turn FROM f WHERE took")
 def budget_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each conversation, turns by role and size while they fit in 1500 characters; the first is always taken: a fold."""
     rank = F.when(F.col("role") == "user", 0).otherwise(1)
@@ -149,13 +140,6 @@ def source_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(d, "conv_id").where(F.col("x").contains(F.col("term"))).groupBy("conv_id", "turn").agg(F.sum(F.least(tf, F.lit(4)) * 2).cast("long").alias("score"))
 
 
-@Q.plan("m5_index_table", "SELECT doc_id, i - 1 AS pos, trim(cells[1]) AS first, len(cells) AS cells FROM (SELECT doc_id, i, string_split(l[i], ' | ') AS cells FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE len(cells) > 1")
-def index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = F.split("line", r" \| ")
-    rows = lines(table(spark, sf_dir, "documents")).withColumn("c", cells).where(F.size("c") > 1)
-    return rows.select("doc_id", "pos", F.trim(F.get("c", F.lit(0))).alias("first"), F.size("c").alias("cells"))
-
-
 @Q.plan("t10_fragments")
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search fragments of quotes: the compact text at 96, 64 and 36 characters and its longer parts, distinct, longest first."""
@@ -179,26 +163,20 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql("s4_backfill", "SELECT c_custkey, CASE WHEN c_nationkey < 3 THEN 'BUILDING' ELSE c_mktsegment END AS segment FROM @customer")
-sql("s6_exclusive_default", "SELECT s_suppkey, s_suppkey = 5 AS is_default FROM @supplier")
-sql("l5_find_node", "SELECT min(n_nationkey) AS n FROM @nation WHERE n_name LIKE '%1%'")
 sql("t3_lookup_map", "SELECT o_custkey, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS latest FROM @orders GROUP BY o_custkey", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY o_custkey")
 sql("t5_fallback_chain", "SELECT d.doc_id, coalesce(CAST(l.toxic AS STRING), nullif(d.lang, 'en'), d.source) AS anchor FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id")
 sql("t8_group_kind", "SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL' THEN 'technical' WHEN p_type LIKE '%BRASS' THEN 'business' ELSE 'other' END AS kind FROM @part")
 sql("t11_visible_selection", "SELECT o_orderkey FROM @orders WHERE o_orderstatus = 'O' AND o_custkey IN (SELECT c_custkey FROM @customer WHERE c_acctbal > 0)")
-sql("h2_outline_key", "SELECT p_partkey, replace(replace(lower(p_name), ' ', ''), '#', '') AS key FROM @part")
 sql("h9_stopped_tokens", "SELECT p_partkey, array_join(filter(split(lower(p_name), ' '), x -> length(x) >= 2 AND x NOT IN ('the', 'of')), ' ') AS tokens FROM @part", "SELECT p_partkey, array_to_string(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 2 AND x NOT IN ('the', 'of')), ' ') AS tokens FROM part")
 sql("h11_alias_test", "SELECT doc_id FROM @documents WHERE lower(text) LIKE '%ing%' OR lower(text) LIKE '%ung%'")
 sql("h16_sanitiser", "SELECT doc_id, replace(replace(replace(text, 'technical_requirements', 'requirements'), 'source', 'origin'), '**', '') AS clean FROM @documents")
-sql("h17_char_count", "SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS n FROM @documents")
 sql("h20_table_lines", "SELECT doc_id, length(text) - length(replace(text, '|', '')) AS bars FROM @documents WHERE text LIKE '%|%'")
 sql("h23_chapter_type", "SELECT p_partkey, CASE WHEN p_type LIKE 'PROMO%' THEN 'business' WHEN p_type LIKE 'LARGE%' THEN 'price' ELSE 'technical' END AS kind FROM @part")
 sql("h24_scoring_type", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.08 THEN 'price' WHEN l_tax > 0.05 THEN 'business' WHEN l_quantity > 30 THEN 'technical' ELSE 'other' END AS kind FROM @lineitem")
 sql("j7_row_score", "SELECT o_orderkey, 30 * CAST(o_orderpriority LIKE '1%' AS INT) + 20 * CAST(o_totalprice > 100000 AS INT) - 10 * CAST(o_orderstatus = 'F' AS INT) AS score FROM @orders")
-sql("j8_best_child", "SELECT n_regionkey, min(score) AS worst, max(score) AS best FROM (SELECT n_regionkey, 100 * CAST(n_nationkey % 3 = 0 AS INT) - CAST(floor(greatest(n_nationkey - 10, 0) / 5) AS INT) AS score FROM @nation) x GROUP BY n_regionkey")
 sql("k1_atoms", "SELECT event_id, event_type AS value, coalesce(nullif(event_type, ''), 'none') AS quote FROM @events WHERE event_type IS NOT NULL AND event_type <> ''")
 sql("k2_list_defaults", "SELECT doc_id, coalesce(quality, 1) AS mandatory, coalesce(toxic, 0) AS severity FROM @labels")
 sql("k6_search_text", "SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type) AS search FROM @part")
-sql("k8_flatten", "SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM @conversations GROUP BY conv_id")
 sql("k9_summary", "SELECT doc_id, left(concat_ws('; ', lang, source, left(text, 80)), 260) AS summary FROM @documents")
 sql("m10_draft", "SELECT s_suppkey, concat('Supplier ', s_name, ' of nation ', CAST(s_nationkey AS STRING)) AS draft FROM @supplier")
 sql("a16_range_text", "SELECT doc_id, left(text, 6000) AS content FROM @documents")
