@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.operators import folds, sections
+from docquarry.operators import folds, merging, sections, trees
 from docquarry.plans.assembly import _CH, _S, chapters, stream
 from docquarry.plans.query import Catalog, table
 from docquarry.sources.readers import lines
@@ -285,3 +285,46 @@ def result_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     for status in ("running", "done"):  # a project's state changes, and the last one stays
         sinks.json_lines(rows.withColumn("status", F.lit(status)), path)
     return spark.read.schema("o_custkey long, n long, status string").json(path)
+
+
+@Q.plan("c12_existing_wins", 'SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(CAST(l.toxic AS VARCHAR), d.lang) AS value FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id')
+def existing_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values merged by key: what is there already wins unless it is blank."""
+    new = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("value"))
+    return merging.existing_wins(new, table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("string").alias("value")), "doc_id", "value")
+
+
+@Q.plan("g1_keyed_union", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY md5(text) ORDER BY p, doc_id) AS n FROM (SELECT doc_id, lang, text, 0 AS p FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, lang, text, 1 FROM documents WHERE lang <> 'en') u) r WHERE n = 1")
+def keyed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents, and the others whose text they lack; of equal texts the first. Texts meet by their digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5("text").alias("key"))
+    first = lambda rows: rows.groupBy("key").agg(F.min(F.struct("doc_id", "lang")).alias("d")).select("key", "d.doc_id", "d.lang")
+    return merging.union_left_wins(first(docs.where("lang = 'en'")), first(docs.where("lang <> 'en'")), ["key"]).select("doc_id", "lang")
+
+
+@Q.plan("g6_last_wins", 'SELECT c_nationkey, c_mktsegment, max(c_custkey) AS winner, min(c_custkey) AS place FROM customer GROUP BY c_nationkey, c_mktsegment')
+def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per nation and segment the last customer, at the first one's place."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", F.col("c_custkey").alias("winner"), F.col("c_custkey").alias("place"))
+    return merging.last_wins(rows, ["c_nationkey", "c_mktsegment"], "place")
+
+
+@Q.plan("h10_truncate", "SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE concat(left(text, 210), ' ... ', right(text, 90)) END AS cut FROM documents")
+def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut to their head and tail."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.head_tail(F.col("text"), 300).alias("cut"))
+
+
+@Q.plan("h14_no_urls", "SELECT p_partkey, length(p_name) + 4 AS n FROM part")
+def url_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths without addresses, of names around which some were put."""
+    text = F.concat("p_name", F.lit(" a https://x.org/y?z=1 http://b.c b"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.length(F.regexp_replace(T.without_urls(text), " +", " ")).cast("long").alias("n"))
+
+
+@Q.plan("b10_leaf_nodes", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+def leaf_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations below which no active supplier hangs."""
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), "n_nationkey")
+    below = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), F.lit(None).cast("int"))
+    return trees.leaves(nations.union(below)).where("n_nationkey IS NOT NULL").select("n_nationkey")
