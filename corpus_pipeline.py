@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.llm import jaccard_join, mixture, packing, repetition, toxicity
-from docquarry.runtime import materialised
+from docquarry.runtime import removed, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on documents; each stage's rows are written and read again in the shared checkpoint folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages on documents; each stage's rows are written and read again in the shared checkpoint folder.
+
+    A stage's table goes once its successor's is written whole, or, for the last, once packing has checkpointed the pieces. Null ids and
+    repeated rows are documents of their own in every stage; null texts fail the quality rules; an empty table gives no rows.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = materialised(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, path = stored(stage(spark, docs, sf_dir))
+        if last:
+            removed(spark, last)
+        last = path
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    removed(spark, last)
+    return out

@@ -55,11 +55,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder: smaller than a checkpoint for wide rows."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Cuts the lineage with a Parquet table in the shared folder, smaller than a checkpoint for wide rows; the table, read again, and its path."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """stored() where the table may stay."""
+    return stored(df)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that stored() wrote, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
