@@ -55,7 +55,7 @@ def smooth_levels(rows: DataFrame, doc: str, pos: str, text: str, level: str, de
         last = F.when(on, _replaced(acc["last"], r["d"], r["path"], F.lit(""))).otherwise(acc["last"])
         return F.struct(last.alias("last"), F.concat(acc["out"], F.array(F.struct(r["n"].alias("n"), own.alias("level")))).alias("out"))
 
-    path = F.regexp_extract(text, "^([0-9]+(?:[.][0-9]+)*)[.、 ]", 1)
+    path = F.regexp_extract(F.coalesce(text, F.lit("")), "^([0-9]+(?:[.][0-9]+)*)[.、 ]", 1)
     listed = _listed(rows, doc, F.col(pos).cast("int").alias("n"), F.col(level).cast("int").alias("lv"), path.alias("path"), F.when(path == "", 0).otherwise(F.size(F.split(path, "[.]"))).alias("d"))
     return listed.select(doc, F.explode(F.aggregate("q_rows", start, step, lambda acc: acc["out"])).alias("q")).select(doc, "q.n", "q.level")
 
