@@ -73,6 +73,11 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets shuffle files go that no plan needs any more: Spark's cleaner drops them only once the driver's JVM has collected their plans."""
+    spark._jvm.System.gc()
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Joins a checkpointed small side: broadcast if its row count is within BROADCAST_ROWS, else by a shuffle."""
     if small.count() <= BROADCAST_ROWS:
