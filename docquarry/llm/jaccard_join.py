@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.bytewords import chunks, mix
 from docquarry.llm.components import components
 from docquarry.llm.partenum import Scheme, folded, forest, linked, most_apart, near_pairs, sets, sketch
-from docquarry.runtime import checkpointed, join_small, ship
+from docquarry.runtime import checkpointed, join_small, released, ship
 
 #: Tasks over which the copies of one text are dealt at least.
 SALTS = 64
@@ -161,8 +161,10 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
 
     signed = known.mapInArrow(lambda it: _signatures(it, n, scheme), "key long, id long")
     shared = checkpointed(signed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long, lead long, place long"))
+    released(docs.sparkSession)  # the signatures' shuffle, the largest of all, is not needed beyond this
     stars = shared.where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct()
     edges = checkpointed(copies.unionByName(_verified(stars, known, sizes, n, scheme)))
+    released(docs.sparkSession)
     found = checkpointed(components(edges))
 
     # keys with the same members say the same: of each set of members, one key is compared
@@ -206,6 +208,7 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
         rest = rest.withColumn("cell", cell).select("key", "cell.x", "cell.y", "block", "id", "component", "n", "sketch")
         more = rest.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(partial(across, whole=whole), "u long, v long").distinct()
         more = checkpointed(more.join(tried, ["u", "v"], "left_anti"))
+        released(docs.sparkSession)
         late = _verified(more, known, sizes, n, scheme)
         if not late.isEmpty():
             found = checkpointed(components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(late)))
