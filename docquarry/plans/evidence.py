@@ -328,3 +328,103 @@ def leaf_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), "n_nationkey")
     below = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), F.lit(None).cast("int"))
     return trees.leaves(nations.union(below)).where("n_nationkey IS NOT NULL").select("n_nationkey")
+
+
+@Q.plan("m14_render_strategy", """WITH x AS (SELECT o_orderkey, count(l_orderkey) AS n, coalesce(bool_or(l_returnflag = 'R'), false) AS form, o_totalprice, o_orderstatus FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 40 GROUP BY ALL)
+SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'container' WHEN form THEN 'form' WHEN o_orderstatus = 'F' THEN 'generated' WHEN n > 0 THEN 'materials' ELSE 'empty' END AS strategy, n > 0 AND o_orderstatus = 'F' AS both, o_orderkey % 10 <> 0 AND n = 0 AND o_orderstatus <> 'F' AS missing FROM x""")
+def render_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a node is rendered: containers, then forms, then drafts, then materials, else empty; and whether two sources meet or none is there."""
+    line = table(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("l_returnflag") == "R").alias("form"))
+    rows = table(spark, sf_dir, "orders").join(line, "o_orderkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    inner, draft = F.col("o_orderkey") % 10 == 0, F.col("o_orderstatus") == "F"
+    strategy = F.when(inner, "container").when(F.coalesce("form", F.lit(False)), "form").when(draft, "generated").when(F.col("n") > 0, "materials").otherwise("empty")
+    return rows.select("o_orderkey", strategy.alias("strategy"), ((F.col("n") > 0) & draft).alias("both"), (~inner & (F.col("n") == 0) & ~draft).alias("missing"))
+
+
+@Q.plan("h20_table_lines", "SELECT p_partkey, [true, true, false, false, true][p_partkey % 5 + 1] AS is_row, p_partkey % 5 IN (1, 4) AS is_rule, CASE p_partkey % 5 WHEN 0 THEN p_name || '/' || p_size WHEN 1 THEN '---/:--' WHEN 4 THEN '-/-/-' END AS cells FROM part")
+def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table lines found, told from rules, and split; the counterpart knows how each was written."""
+    k = F.col("p_partkey") % 5
+    line = F.when(k == 0, F.concat(F.lit("| "), "p_name", F.lit(" |  "), "p_size", F.lit("|"))).when(k == 1, "|---|:--|").when(k == 2, F.concat("p_name", F.lit(" | "), "p_size")).when(k == 3, F.col("p_name")).otherwise(" | - | - | - |  ")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.trim(line).alias("line"))
+    is_row = F.col("line").rlike(r"^\|.*\|$")
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), "[|]"), lambda c: F.trim(c))
+    return rows.select("p_partkey", is_row.alias("is_row"), (is_row & F.forall(cells, lambda c: c.rlike("^:?-+:?$"))).alias("is_rule"), F.when(is_row, F.array_join(cells, "/")).alias("cells"))
+
+
+#: Families of a chapter by its title's words, in order, and what stands for none.
+FAMILIES = (("price", ("bolt", "nut")), ("form", ("ring", "red")), ("business", ("hot", "small", "gear")))
+
+
+@Q.plan("h23_chapter_type", "WITH m AS (SELECT p_partkey, list_filter([CASE WHEN regexp_matches(p_name, 'bolt|nut') THEN 'price' END, CASE WHEN regexp_matches(p_name, 'ring|red') THEN 'form' END, CASE WHEN regexp_matches(p_name, 'hot|small|gear') THEN 'business' END], lambda x: x IS NOT NULL) AS f FROM part) SELECT p_partkey, coalesce(f[1], 'technical') AS kind, array_to_string(f, ',') AS styles FROM m")
+def chapter_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chapter's kind is its first family, technical without any; its styles are all of them."""
+    rules = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, ws)).alias("ws")) for k, ws in FAMILIES])
+    found = F.transform(F.filter(rules, lambda r: F.exists(r["ws"], lambda w: F.col("p_name").contains(w))), lambda r: r["k"])
+    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.get(found, F.lit(0)), F.lit("technical")).alias("kind"), F.array_join(found, ",").alias("styles"))
+
+
+@Q.plan("h24_scoring_type", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' AND l_tax < 0.02 THEN 'method' WHEN l_discount = 0 THEN 'conformity' WHEN l_extendedprice > 40000 THEN 'price' WHEN l_partkey % 3 = 0 THEN 'technical' WHEN l_suppkey % 2 = 0 THEN 'business' WHEN l_quantity >= 25 THEN 'price' ELSE 'technical' END AS kind FROM lineitem""")
+def scoring_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of scoring rows: the first rule that holds, of rules in order; sizes decide only where no word does."""
+    c = F.col
+    rules = [(((c("l_returnflag") == "R") & (c("l_tax") < 0.02)), "method"), (c("l_discount") == 0, "conformity"), (c("l_extendedprice") > 40000, "price"), (c("l_partkey") % 3 == 0, "technical"), (c("l_suppkey") % 2 == 0, "business"), (c("l_quantity") >= 25, "price")]
+    first = F.coalesce(*[F.when(rule, F.lit(kind)) for rule, kind in rules], F.lit("technical"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", first.alias("kind"))
+
+
+@Q.plan("l9_source_priority", f"WITH {_LINES}, a AS (SELECT doc_id, min(pos) AS pos FROM l WHERE contains(line, ' | ') GROUP BY 1), b AS (SELECT doc_id, min(pos) AS pos FROM l WHERE length(line) BETWEEN 1 AND 40 GROUP BY 1), c AS (SELECT doc_id, quality AS pos FROM labels) SELECT d.doc_id, CASE WHEN a.pos IS NOT NULL THEN 'table' WHEN b.pos IS NOT NULL THEN 'heading' WHEN c.pos IS NOT NULL THEN 'rows' ELSE 'none' END AS origin, coalesce(a.pos, b.pos, c.pos) AS pos FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)")
+def source_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a composition is read from: a table, else the first heading, else given rows: one pass over lines, whose least place of each kind is kept."""
+    rows = lines(table(spark, sf_dir, "documents"))
+    place = lambda c: F.min(F.when(c, F.struct(F.col("pos").cast("long").alias("pos")))).getField("pos")
+    found = rows.groupBy("doc_id").agg(place(F.col("line").contains(" | ")).alias("a"), place(F.length("line").between(1, 40)).alias("b"))
+    given = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("c"))
+    origin = F.coalesce(*[F.when(F.col(x).isNotNull(), F.lit(name)) for x, name in (("a", "table"), ("b", "heading"), ("c", "rows"))], F.lit("none"))
+    return found.join(given, "doc_id", "left").select("doc_id", origin.alias("origin"), F.coalesce("a", "b", "c").alias("pos"))
+
+
+@Q.plan("s2_tree_outline", f"WITH {_CH} SELECT split_part(chapter_id, '.', 1) AS root, string_agg(repeat('    ', level - 1) || chapter_id || '. ' || name, chr(10) ORDER BY list_transform(string_split(chapter_id, '.'), lambda x: x::BIGINT)) AS outline FROM ch GROUP BY 1")
+def tree_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree as indented text, parents before their children: one text per root, in the order of its numbers."""
+    path = F.transform(F.split("chapter_id", "[.]"), lambda x: x.cast("long"))
+    line = F.concat(F.repeat(F.lit("    "), F.col("level") - 1), "chapter_id", F.lit(". "), "name")
+    rows = chapters(spark, sf_dir).select(F.substring_index("chapter_id", ".", 1).alias("root"), F.struct(path.alias("path"), line.alias("line")).alias("x"))
+    return rows.groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("outline"))
+
+
+@Q.plan("t3_lookup_map", "SELECT l_partkey, l_orderkey AS anchor, l_linenumber AS line FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) = 1")
+def lookup_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys to their last location: a pre-aggregated maximum."""
+    last = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max(F.struct("l_orderkey", "l_linenumber")).alias("x"))
+    return last.select("l_partkey", F.col("x.l_orderkey").alias("anchor"), F.col("x.l_linenumber").alias("line"))
+
+
+@Q.plan("t5_fallback_chain", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'b' || o_orderkey || ' b' || (o_orderkey + 1) WHEN o_orderkey % 6 = 1 THEN 'best' || o_custkey WHEN o_orderkey % 6 = 2 THEN 'start' WHEN o_orderkey % 6 = 3 THEN 'end' WHEN o_orderkey % 6 = 4 THEN 'section' ELSE '' END AS anchors FROM orders")
+def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A requirement's anchors: its blocks, else the best anchor, else start, end and section; the first list that isn't empty."""
+    k = F.col("o_orderkey") % 6
+    none = F.array().cast("array<string>")
+    one = lambda at, c: F.when(k == at, F.array(c)).otherwise(none)
+    blocks = F.when(k == 0, F.array(F.concat(F.lit("b"), "o_orderkey"), F.concat(F.lit("b"), F.col("o_orderkey") + 1))).otherwise(none)
+    chain = F.array(blocks, one(1, F.concat(F.lit("best"), "o_custkey")), one(2, F.lit("start")), one(3, F.lit("end")), one(4, F.lit("section")))
+    first = F.coalesce(F.get(F.filter(chain, lambda x: F.size(x) > 0), F.lit(0)), none)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(first, " ").alias("anchors"))
+
+
+@Q.plan("k9_summary", "WITH p AS (SELECT DISTINCT o_custkey, o_orderpriority AS p FROM orders WHERE o_orderstatus <> 'P'), l AS (SELECT o_custkey, array_to_string(list_sort(list(p))[1:3], ', ') AS ps FROM p GROUP BY 1), t AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, left('customer ' || o_custkey || '; orders: ' || n || coalesce('; priorities: ' || ps, ''), 60) AS summary FROM t LEFT JOIN l USING (o_custkey)")
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object in words: empty fields go, lists keep three, the whole keeps sixty characters."""
+    kept = F.slice(F.sort_array(F.collect_set(F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")))), 1, 3)
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), kept.alias("ps"))
+    fields = F.array(F.concat(F.lit("customer "), "o_custkey"), F.concat(F.lit("orders: "), "n"), F.when(F.size("ps") > 0, F.concat(F.lit("priorities: "), F.array_join("ps", ", "))))
+    return rows.select("o_custkey", F.left(F.array_join(F.filter(fields, lambda f: f.isNotNull()), "; "), F.lit(60)).alias("summary"))
+
+
+@Q.plan("t8_group_kind", f"WITH {_LINES}, g AS (SELECT doc_id, lower(max(line) FILTER (pos = 0)) AS title, count(*) AS n, bool_or(contains(line, 'tion')) AS t, bool_or(contains(line, 'ment')) AS b FROM l GROUP BY 1) SELECT CASE WHEN contains(title, 'tion') THEN 'technical' WHEN contains(title, 'ment') THEN 'business' WHEN t THEN 'technical' WHEN b THEN 'business' ELSE 'other' END AS kind, count(*) AS groups, sum(n)::BIGINT AS n FROM g GROUP BY 1")
+def group_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by their title's words, else by their rows' words, with their numbers of rows."""
+    has = lambda w: F.bool_or(F.col("line").contains(w))
+    g = lines(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.max(F.when(F.col("pos") == 0, F.lower("line"))).alias("title"), F.count(F.lit(1)).alias("n"), has("tion").alias("t"), has("ment").alias("b"))
+    kind = F.when(F.col("title").contains("tion"), "technical").when(F.col("title").contains("ment"), "business").when(F.col("t"), "technical").when(F.col("b"), "business").otherwise("other")
+    return g.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"))

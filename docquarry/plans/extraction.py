@@ -42,11 +42,9 @@ sql("f6_related_top", "SELECT user_id, event_type, hits FROM (SELECT user_id, ev
 sql("k11_known_paths", "SELECT event_id, coalesce(get_json_object(props, '$.k'), 'none') AS k, get_json_object(props, '$.missing') IS NULL AS absent FROM @events", "SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, json_extract_string(props, '$.missing') IS NULL AS absent FROM events")
 
 # Reports
-sql("l9_source_priority", "SELECT doc_id, coalesce(CASE WHEN text LIKE '% | %' THEN 'table' END, CASE WHEN text LIKE '%###%' THEN 'heading' END, 'text') AS origin FROM @documents")
 sql("m6_substantive", "SELECT doc_id, text LIKE '%|%' OR length(text) >= 60 AS substantive FROM @documents")
 sql("o2_state_reducers", "SELECT user_id, max_by(event_type, struct(ts, event_id)) AS last_status, count_if(event_type = 'error') AS warnings FROM @events GROUP BY user_id", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_status, count_if(event_type = 'error') AS warnings FROM events GROUP BY user_id")
 sql("q6_heading_policy", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 1 WHEN p_size > 20 THEN 2 ELSE 3 END AS heading_level FROM @part")
-sql("s2_tree_outline", "SELECT concat(repeat('    ', 1), CAST(n_nationkey AS STRING), '. ', n_name) AS line FROM @nation")
 
 
 @Q.plan("m7_best_excerpt", "SELECT doc_id, min(pos) AS pos FROM (SELECT doc_id, pos, score, max(score) OVER (PARTITION BY doc_id) AS best FROM (SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(list_transform(l, lambda x: 8 * contains(x, 'ing')::INT + 5 * contains(x, 'the')::INT + 2 * (length(x) > 40)::INT)) AS score FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))) WHERE score = best GROUP BY doc_id")

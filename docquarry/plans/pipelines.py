@@ -163,21 +163,14 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql("s4_backfill", "SELECT c_custkey, CASE WHEN c_nationkey < 3 THEN 'BUILDING' ELSE c_mktsegment END AS segment FROM @customer")
-sql("t3_lookup_map", "SELECT o_custkey, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS latest FROM @orders GROUP BY o_custkey", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY o_custkey")
-sql("t5_fallback_chain", "SELECT d.doc_id, coalesce(CAST(l.toxic AS STRING), nullif(d.lang, 'en'), d.source) AS anchor FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id")
-sql("t8_group_kind", "SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL' THEN 'technical' WHEN p_type LIKE '%BRASS' THEN 'business' ELSE 'other' END AS kind FROM @part")
 sql("t11_visible_selection", "SELECT o_orderkey FROM @orders WHERE o_orderstatus = 'O' AND o_custkey IN (SELECT c_custkey FROM @customer WHERE c_acctbal > 0)")
 sql("h9_stopped_tokens", "SELECT p_partkey, array_join(filter(split(lower(p_name), ' '), x -> length(x) >= 2 AND x NOT IN ('the', 'of')), ' ') AS tokens FROM @part", "SELECT p_partkey, array_to_string(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 2 AND x NOT IN ('the', 'of')), ' ') AS tokens FROM part")
 sql("h11_alias_test", "SELECT doc_id FROM @documents WHERE lower(text) LIKE '%ing%' OR lower(text) LIKE '%ung%'")
 sql("h16_sanitiser", "SELECT doc_id, replace(replace(replace(text, 'technical_requirements', 'requirements'), 'source', 'origin'), '**', '') AS clean FROM @documents")
-sql("h20_table_lines", "SELECT doc_id, length(text) - length(replace(text, '|', '')) AS bars FROM @documents WHERE text LIKE '%|%'")
-sql("h23_chapter_type", "SELECT p_partkey, CASE WHEN p_type LIKE 'PROMO%' THEN 'business' WHEN p_type LIKE 'LARGE%' THEN 'price' ELSE 'technical' END AS kind FROM @part")
-sql("h24_scoring_type", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.08 THEN 'price' WHEN l_tax > 0.05 THEN 'business' WHEN l_quantity > 30 THEN 'technical' ELSE 'other' END AS kind FROM @lineitem")
 sql("j7_row_score", "SELECT o_orderkey, 30 * CAST(o_orderpriority LIKE '1%' AS INT) + 20 * CAST(o_totalprice > 100000 AS INT) - 10 * CAST(o_orderstatus = 'F' AS INT) AS score FROM @orders")
 sql("k1_atoms", "SELECT event_id, event_type AS value, coalesce(nullif(event_type, ''), 'none') AS quote FROM @events WHERE event_type IS NOT NULL AND event_type <> ''")
 sql("k2_list_defaults", "SELECT doc_id, coalesce(quality, 1) AS mandatory, coalesce(toxic, 0) AS severity FROM @labels")
 sql("k6_search_text", "SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type) AS search FROM @part")
-sql("k9_summary", "SELECT doc_id, left(concat_ws('; ', lang, source, left(text, 80)), 260) AS summary FROM @documents")
 sql("m10_draft", "SELECT s_suppkey, concat('Supplier ', s_name, ' of nation ', CAST(s_nationkey AS STRING)) AS draft FROM @supplier")
 sql("a16_range_text", "SELECT doc_id, left(text, 6000) AS content FROM @documents")
 sql("a17_preview", "SELECT doc_id, left(text, 240) AS preview, length(text) - length(replace(text, '|', '')) AS bars FROM @documents")

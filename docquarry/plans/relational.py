@@ -155,7 +155,6 @@ sql(
     "m13_consistency",
     "SELECT fact, n FROM (SELECT 'status' AS fact, count(*) AS n FROM (SELECT o_custkey FROM @orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1) a UNION ALL SELECT 'order', count(*) FROM @lineitem JOIN @orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate) u WHERE n > 0",
 )
-sql("m14_render_strategy", "SELECT d.doc_id, CASE WHEN text LIKE '%|%' THEN 'tender_template' WHEN l.quality = 1 THEN 'materials' WHEN d.n_chars > 1000 THEN 'generated' WHEN d.n_chars = 0 THEN 'empty' ELSE 'container' END AS strategy FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id")
 sql("m11_fact_table", "SELECT 'event' AS grp, event_id AS id, event_type AS label FROM @events UNION ALL SELECT 'order', o_orderkey, o_orderpriority FROM @orders UNION ALL SELECT 'part', p_partkey, p_brand FROM @part")
 sql("o6_recovery", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('P') THEN 'failed' ELSE o_orderstatus END AS status FROM @orders")
 sql("t7_client_groups", "SELECT l_linestatus, round(coalesce(sum(CASE WHEN l_tax > 0.07 THEN l_quantity END), 0), 2) AS total FROM @lineitem GROUP BY l_linestatus")
