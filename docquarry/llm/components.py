@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.runtime import checkpointed
+from docquarry.runtime import checkpointed, released
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,5 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         e = checkpointed(small.distinct())
+        released(e.sparkSession)  # a round's shuffles go with it
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(roots)
