@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import chat, hilbert, jaccard_join, lm_scores, mixture, packing, repetition, spotsigs, tokencount, toxicity
+from docquarry.llm import chat, hilbert, jaccard_join, lexical, linededup, lm_scores, mixture, packing, repetition, runs, spotsigs, tokencount, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +53,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_mixture, op3_spotsigs, op4_jaccard_join, op5_repetition, op6_chat_format, op7_lm_scores, op8_packing, op9_token_counts, op10_toxicity)}
-ORACLES: dict[str, str] = {"op2_mixture": mixture.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op5_repetition": repetition.ORACLE, "op6_chat_format": chat.ORACLE}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_shards, op2_mixture, op3_spotsigs, op4_jaccard_join, op5_repetition, op6_chat_format, op7_lm_scores, op8_packing, op9_token_counts, op10_toxicity, op11_lexical_search, op12_line_dedup, op13_periodic_runs)}
+ORACLES: dict[str, str] = {"op2_mixture": mixture.ORACLE, "op4_jaccard_join": jaccard_join.ORACLE, "op5_repetition": repetition.ORACLE, "op6_chat_format": chat.ORACLE, "op11_lexical_search": lexical.ORACLE, "op12_line_dedup": linededup.ORACLE}
