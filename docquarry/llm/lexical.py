@@ -240,12 +240,12 @@ def _block(docs: DataFrame, items: Items, k: int) -> DataFrame:
 ORACLE = rf"""
 WITH t AS (SELECT 'd' AS side, row_number() OVER () AS rid, doc_id AS id, text FROM documents UNION ALL SELECT 'i', row_number() OVER (), item_id, text FROM benchmark),
 w AS (SELECT side, rid, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM t),
-p AS (SELECT rid, id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY rid)::BIGINT AS n FROM w WHERE side = 'd' GROUP BY ALL),
+p AS (SELECT *, sum(tf) OVER (PARTITION BY rid)::BIGINT AS n FROM (SELECT rid, id, term, count(*) AS tf FROM w WHERE side = 'd' GROUP BY rid, id, term)),
 c AS (SELECT count(DISTINCT rid) AS docs, sum(tf)::BIGINT AS length FROM p),
-df AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, c GROUP BY term, docs),
-a AS (SELECT rid, id, term, count(*) AS repeats FROM w WHERE side = 'i' GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * n + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS n FROM p GROUP BY term), c),
+a AS (SELECT rid, id, term, count(*) AS repeats FROM w WHERE side = 'i' GROUP BY rid, id, term),
 s AS (SELECT a.rid, a.id AS item_id, p.rid AS doc, p.id AS doc_id, sum(repeats * df.w * (({SCALE} * tf) // ({TF_PART} * tf + {LENGTH_PART} * ({100 - LENGTH_SHARE} + ({LENGTH_SHARE} * n * docs) // length))))::BIGINT AS score
-  FROM a JOIN df USING (term) JOIN p USING (term), c GROUP BY ALL),
+  FROM a JOIN df USING (term) JOIN p USING (term), c GROUP BY a.rid, a.id, p.rid, p.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= {K}
 """
