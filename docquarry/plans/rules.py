@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 from docquarry.operators.ranking import positions
+from docquarry.operators.vectors import VectorIndex
 from docquarry.plans.query import Catalog, table
 from docquarry.runtime import join_small
 from docquarry.sources.readers import lines
@@ -402,13 +403,20 @@ def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.plan("j2_dense_cosine", "SELECT query, vec_id, n::INT AS n, score FROM (SELECT q.vec_id AS query, d.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 5) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 5) DESC, d.vec_id) AS n FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id) WHERE n <= 8")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth vector as a query against all vectors: queries go in numbered blocks of a bounded size, each vector meets every block once."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = vectors.withColumn("len", F.sqrt(dot(F.col("v"), F.col("v"))))
-    q = unit.where("vec_id % 100 = 0").select(F.struct(F.col("vec_id").alias("query"), F.col("v").alias("qv"), F.col("len").alias("q_len")).alias("q"))
-    blocks = -(-q.count() // 500)
-    blocked = q.groupBy(F.pmod(F.xxhash64("q.query"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("q").alias("qs"))
-    met = join_small(unit.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))), blocked, "block")
-    pairs = met.select("vec_id", "v", "len", F.explode("qs").alias("q")).where("vec_id <> q.query").select("q.query", "vec_id", F.round(dot(F.col("v"), F.col("q.qv")) / F.col("len") / F.col("q.q_len"), 5).alias("score"))
-    return pairs.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where("n <= 8").select("query", "vec_id", "n", "score")
+    """Every hundredth vector as a query against all vectors, exact: the index only lets tasks skip cells that are out of reach."""
+    rows = _vectors(spark, sf_dir)
+    found = VectorIndex.build(rows).nearest(rows.where("id % 100 = 0"), 8)
+    return found.select("query", F.col("id").alias("vec_id"), "n", "score")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+@Q.plan("j2_probed_topk")
+def probed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As j2_dense_cosine, by the cells nearest to each query alone, as many as a sample's rows need for 0.95 of their neighbours."""
+    rows = _vectors(spark, sf_dir)
+    index = VectorIndex.build(rows)
+    found = index.nearest(rows.where("id % 100 = 0"), 8, probes=index.probes_for(8))
+    return found.select("query", F.col("id").alias("vec_id"), "n", "score")

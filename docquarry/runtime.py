@@ -78,6 +78,12 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where it has fewer: a small file in one piece would keep one core busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
     """Joins a checkpointed small side: broadcast if its row count is within BROADCAST_ROWS, else by a shuffle."""
     if small.count() <= BROADCAST_ROWS:
