@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.plans.query import Catalog, table
-from docquarry.sources import readers, sinks
+from docquarry.sources import html, readers, sinks
 from docquarry.streaming import events
 
 Q = Catalog()
@@ -25,14 +25,25 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.sessions(table(spark, sf_dir, "events"))
 
 
-@Q.plan("a15_html_headings", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '[ \t\n\r]+', ' ', 'g')) AS title FROM pages")
+@Q.plan("a15_html_headings", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g'), '[ \t\n\r]+', ' ', 'g')) AS title FROM pages")
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.html_blocks(table(spark, sf_dir, "pages")).where("level = 1").select("page_id", F.col("text").alias("title"))
+    return html.html_blocks(table(spark, sf_dir, "pages")).where("level = 1").select("page_id", F.col("text").alias("title"))
 
 
-@Q.plan("a15_html_blocks")
+@Q.plan("a15_html_blocks", html.ORACLE)
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.html_blocks(table(spark, sf_dir, "pages"))
+    return html.html_blocks(table(spark, sf_dir, "pages"))
+
+
+@Q.plan(
+    "a15_html_shape",
+    r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[a-z][^>]*>')) AS tok FROM pages)
+    SELECT page_id, count(*) AS elements, count(*) FILTER (starts_with(tok, '<li')) AS items FROM t WHERE NOT starts_with(tok, '<!') GROUP BY page_id""",
+)
+def html_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements and list items of each page's tree."""
+    nodes = html.html_nodes(table(spark, sf_dir, "pages")).where("tag IS NOT NULL")
+    return nodes.groupBy("page_id").agg(F.count(F.lit(1)).alias("elements"), F.count_if(F.col("tag") == "li").alias("items"))
 
 
 @Q.plan("a13_outline", "WITH n AS (SELECT n_regionkey AS r, n_nationkey AS k, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation) SELECT r AS doc_id, i::INT AS pos, '1.' || i AS number, n_name AS name, 0 AS parent_pos FROM n UNION ALL SELECT r_regionkey, 0, '1', r_name, NULL FROM region")

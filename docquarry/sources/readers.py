@@ -50,16 +50,6 @@ def outline(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return found
 
 
-def html_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Headings, paragraphs and list items in order: key, pos, tag, level (headings 1 to 6, else 0), text without tags."""
-    pattern = r"(?is)<(h[1-6]|p|li)(?:\s[^>]*)?>(.*?)</\1>"
-    tags, bodies = (F.regexp_extract_all(html, F.lit(pattern), F.lit(k)) for k in (1, 2))
-    rows = pages.select(key, F.posexplode(F.arrays_zip(tags.alias("tag"), bodies.alias("body"))).alias("pos", "q_x"))
-    text = F.trim(F.regexp_replace(F.regexp_replace("q_x.body", "<[^>]*>", " "), r"\s+", " "))
-    tag = F.lower("q_x.tag")
-    return rows.select(key, "pos", tag.alias("tag"), F.when(tag.startswith("h"), F.substr(tag, F.lit(2)).cast("int")).otherwise(0).alias("level"), text.alias("text"))
-
-
 def docx_rows(data: bytes) -> list[tuple[str, str, int]]:
     """(kind, text, heading level) of a DOCX body in order: paragraphs that aren't blank, and tables as piped lines."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
