@@ -25,7 +25,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.sessions(table(spark, sf_dir, "events"))
 
 
-@Q.plan("a15_html_headings", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g'), '[ \t\n\r]+', ' ', 'g')) AS title FROM pages")
+@Q.plan("a15_html_headings", r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g'), '[ \t\n\r]+', ' ', 'g')) AS title FROM pages")
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.html_blocks(table(spark, sf_dir, "pages")).where("level = 1").select("page_id", F.col("text").alias("title"))
 
