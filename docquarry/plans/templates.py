@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.operators import locate
+from docquarry.operators import locate, sections as S, similar
 from docquarry.plans.query import Catalog, table
 from docquarry.sources.readers import lines
 
@@ -71,3 +71,44 @@ def section_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = numbered_lines(spark, sf_dir)
     sections = line_sections(rows)
     return locate.resolve(asked_sections(sections), sections, rows.select("doc_id", "pos", F.col("line").alias("text")), F.col("title").contains("the"))
+
+
+def template_spans(rows: DataFrame) -> DataFrame:
+    """doc_id, title, start, end, chars, piped of each heading of numbered_lines(): its lines up to the next heading of its level or above.
+
+    The level of a heading is 1 to 3, by its length. chars and piped (lines with a bar) leave the heading itself out; both are
+    differences of running sums, so that no line is copied for each span that it lies in.
+    """
+    level = F.when(F.col("heading"), F.when(F.length("line") <= 20, 1).when(F.length("line") <= 40, 2).otherwise(3)).otherwise(0)
+    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("level", level).withColumn("q_chars", F.sum(F.length(F.trim("line"))).over(upto)).withColumn("q_piped", F.sum(F.col("line").contains("|").cast("long")).over(upto))
+    spans = S.ends(rows.select("doc_id", "pos", "level", "line", "q_chars", "q_piped")).where("level > 0")
+    last = rows.select("doc_id", (F.col("pos") + 1).alias("end_pos"), F.col("q_chars").alias("q_c"), F.col("q_piped").alias("q_p"))
+    out = spans.join(last, ["doc_id", "end_pos"])
+    return out.select("doc_id", F.col("line").alias("title"), F.col("pos").alias("start"), F.col("end_pos").alias("end"), (F.col("q_c") - F.col("q_chars")).alias("chars"), (F.col("q_p") - F.col("q_piped")).alias("piped"))
+
+
+def best_spans(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, ref, start, end, chars, piped, score of the heading most like each asked title (doc_id, ref, title); the first one wins ties."""
+    alike = similar.similar_titles(asked, spans, "doc_id")
+    first = spans.groupBy("doc_id", "title").agg(F.min_by(F.struct("start", "end", "chars", "piped"), "start").alias("span"))
+    scored = alike.join(first.withColumnRenamed("title", "b"), ["doc_id", "b"])
+    best = scored.groupBy("doc_id", "a").agg(F.min_by(F.struct("span.*", "score"), F.struct(-F.col("score"), F.col("span.start"))).alias("best"))
+    return asked.join(best.withColumnRenamed("a", "title"), ["doc_id", "title"]).select("doc_id", "ref", "best.*")
+
+
+#: What makes an evidence substantive: a table, or this many characters.
+_SUBSTANCE = 60
+
+
+@Q.plan("m6_template_evidence")
+def template_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence for asked sections: what resolves by id or exact title if it is substantive, else the span of the most similar heading if that is."""
+    rows = numbered_lines(spark, sf_dir)
+    sections = line_sections(rows)
+    asked = asked_sections(sections)
+    found = locate.resolve(asked, sections, rows.select("doc_id", "pos", F.col("line").alias("text"))).where("found <> 'part'")
+    located = found.where(F.col("content").contains("|") | (F.length("content") >= _SUBSTANCE)).select("doc_id", "ref", F.lit("located").alias("how"), F.regexp_extract("sec_id", "[0-9]+", 0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("double").alias("score"))
+    rest = asked.join(located, ["doc_id", "ref"], "left_anti").select("doc_id", "ref", F.col("section_title").alias("title"))
+    spans = best_spans(rest, template_spans(rows)).where((F.col("piped") > 0) | (F.col("chars") >= _SUBSTANCE))
+    return located.unionByName(spans.select("doc_id", "ref", F.lit("similar").alias("how"), "start", "end", "score"))
