@@ -72,20 +72,21 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: each row of docs as often as it was drawn, all columns kept.
+    """The mixed documents: each row of docs as often as it was drawn, all columns kept, whatever their names.
 
-    Rows that are equal in every column are counted together, so repeated rows keep their total number of copies.
+    Rows that are equal in every column are counted together, so repeated rows keep their total number of copies. The row
+    travels as one struct beside its key, so no column of docs can clash with those that the drawing needs.
     """
-    named = docs.withColumn("q_hash", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    rows = named.select("doc_id", "q_hash", "source", words_in(F.col("text")).alias("size"))
+    key = [F.coalesce("doc_id", F.lit(-1)).alias("q_doc"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_hash")]
+    rows = docs.select("doc_id", key[1], "source", words_in(F.col("text")).alias("size"))
     drawn = sample_copies(rows, ["doc_id", "q_hash"], **options).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("q_doc"), "q_hash").agg(F.sum("copies").alias("q_copies"), F.count(F.lit(1)).alias("q_same"))
-    once = named.withColumn("q_doc", F.coalesce("doc_id", F.lit(-1)))
+    once = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"))
     drawn = checkpointed(drawn)
     hot = drawn.where("q_same > 1 and q_copies > 0")
     single = once.join(drawn.where("q_same = 1 and q_copies > 0").drop("q_same"), ["q_doc", "q_hash"])
     several = join_small(once, checkpointed(hot.drop("q_same")), ["q_doc", "q_hash"]).dropDuplicates(["q_doc", "q_hash"])
     both = single.unionByName(several)
-    return both.withColumn("q_copy", F.explode(F.sequence(F.lit(1), F.col("q_copies").cast("int")))).select(*docs.columns)
+    return both.select("q_row", F.explode(F.sequence(F.lit(1), F.col("q_copies").cast("int"))).alias("q_copy")).select("q_row.*")
 
 
 #: Window over the words' counts in DuckDB: the same order, offset and water level as sample_copies.

@@ -53,3 +53,15 @@ def test_reruns_and_mix(small, odd, empty):
     assert mixture.mix(empty).count() == 0 == mixture.mixed_sizes(empty).count()
 
 
+
+
+def test_mix_with_clashing_names(small):
+    """Columns that are named like the operator's own come out as they went in, and change no draw."""
+    names = ["q_hash", "q_copies", "q_copy", "q_doc", "q_same", "q_row", "q_pos", "q_src", "size", "copies", "target", "source_size"]
+    df = small.selectExpr("*", *(f"concat('{n}', doc_id) AS {n}" for n in names))
+    got = mixture.mix(df)
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    want = Counter({r.doc_id: r.copies for r in mixture.mixed_sizes(small).collect() if r.copies})
+    assert Counter(r.doc_id for r in rows) == want
