@@ -74,12 +74,15 @@ def parts_of(text: Column, n: int) -> Column:
 def held_in(short: DataFrame, held: str, long: DataFrame, holder: str, n: int = 8) -> DataFrame:
     """Pairs of rows whose column held may lie in holder: an equi-join of held's beginning (8 characters; n of shorter ones) with all parts of holder of that length.
 
-    No pair is lost where held has n characters or more; the caller tests the whole texts. The texts of a side are never compared with all of the other.
+    No pair is lost where held has n characters or more; the caller tests the whole texts. The texts of a side are never compared with all of
+    the other. Parts travel with a hash of their holder only, and a holder's row is joined back once for each row that met one of its parts.
     """
+    name = F.xxhash64(holder).alias("q_holder")
 
     def met(some: DataFrame, k: int) -> DataFrame:
-        parts = F.array_distinct(parts_of(F.col(holder), k))
-        return some.withColumn("q_part", F.left(held, F.lit(k))).join(long.withColumn("q_part", F.explode(parts)), "q_part").drop("q_part")
+        parts = long.select(name, F.explode(F.array_distinct(parts_of(F.col(holder), k))).alias("q_part"))
+        pairs = parts.join(some.withColumn("q_part", F.left(held, F.lit(k))), "q_part").drop("q_part").distinct()
+        return pairs.join(long.withColumn("q_holder", name), "q_holder").drop("q_holder")
 
     size = F.length(held)
     if n >= 8:

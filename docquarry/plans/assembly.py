@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import text as T
 from docquarry.operators import folds, merging
 from docquarry.plans.query import Catalog, table
+from docquarry.runtime import spread
 from docquarry.sources.readers import lines
 
 Q = Catalog()
@@ -127,20 +128,31 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, string_agg('S' || n || ':' || doc_id || ':' || (pos // 5 + 1) || ':' || score::BIGINT, ' ' ORDER BY n) AS citations, string_agg('[S' || n || '] ' || left(x, 320), chr(10) ORDER BY n) FILTER (n <= 3) AS answer FROM k GROUP BY 1""")
 def source_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions answered by extracts: lines ranked by their terms (each counts up to four times, more in the document's title), the best eight
-    cited with page and score, the first three quoted. Terms meet lines through their first four characters."""
+    cited with page and score, the first three quoted. Terms meet lines through their first six characters."""
     terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_-]+"), F.lit(0)), lambda w: F.length(w) >= 6))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(terms).alias("term")).withColumn("gram", F.left("term", F.lit(4)))
-    rows = lines(table(spark, sf_dir, "documents"))
-    first = rows.where("pos = 0").select("doc_id", F.col("line").alias("title"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(terms).alias("term"))
+    wanted = asked.select("term", F.left("term", F.lit(6)).alias("gram")).distinct()
+    every = lines(spread(table(spark, sf_dir, "documents")))
     squeeze = lambda c: F.lower(F.regexp_replace(c, "[ \t\r\n]+", ""))
-    rows = rows.join(first, "doc_id").select("doc_id", "pos", F.trim(F.regexp_replace("line", "[ \t\r\n]+", " ")).alias("x"), squeeze("title").alias("title"), squeeze(F.concat_ws(" ", "title", "line")).alias("hay")).where("length(x) >= 8")
-    grams = F.array_distinct(T.parts_of(F.col("hay"), 4))
-    met = rows.withColumn("gram", F.explode(grams)).join(asked, "gram").where(F.col("hay").contains(F.col("term")))
-    times = F.floor((F.length("hay") - F.length(F.replace("hay", "term"))) / F.length("term"))
-    scored = met.groupBy("item_id", "doc_id", "pos").agg(F.sum(2 * F.least(times, F.lit(4)) + 3 * F.col("title").contains(F.col("term")).cast("int")).alias("score"), F.first("x").alias("x"))
+    first = every.where("pos = 0").select("doc_id", squeeze("line").alias("title"))
+    said = F.trim(F.regexp_replace("line", "[ \t\r\n]+", " "))
+    rows = every.select("doc_id", "pos", said.alias("x"), squeeze("line").alias("own")).where("length(x) >= 8")
+    # A gram travels with its line's place only; titles give theirs once a document, and a gram that spans title and line lies in ten characters.
+    parts = lambda c: F.explode(F.array_distinct(T.parts_of(c, 6))).alias("gram")
+    lined = rows.select("doc_id", "pos", parts(F.col("own"))).join(wanted, "gram").select("doc_id", "pos", "term")
+    edges = rows.join(first, "doc_id").select("doc_id", "pos", parts(F.concat(F.right("title", F.lit(5)), F.left("own", F.lit(5))))).join(wanted, "gram").select("doc_id", "pos", "term")
+    titled = first.select("doc_id", parts(F.col("title"))).join(wanted, "gram").select("doc_id", "term").distinct().join(rows.select("doc_id", "pos"), "doc_id").select("doc_id", "pos", "term")
+    met = lined.unionByName(edges).unionByName(titled).groupBy("doc_id", "pos").agg(F.collect_set("term").alias("terms"))
+    # Each line meets its possible terms in one row, which counts them; only places, terms and points go on to the items.
+    hay = F.concat("title", "own")
+    times = lambda h, t: F.floor((F.length(h) - F.length(F.replace(h, t))) / F.length(t))
+    points = F.transform(F.array(hay), lambda h: F.transform(F.filter("terms", lambda t: h.contains(t)), lambda t: F.struct(t.alias("term"), (2 * F.least(times(h, t), F.lit(4)) + 3 * F.col("title").contains(t).cast("int")).alias("n"))))[0]
+    counted = rows.join(met, ["doc_id", "pos"]).join(first, "doc_id").select("doc_id", "pos", F.explode(points).alias("p")).select("doc_id", "pos", "p.term", "p.n")
+    scored = counted.join(asked, "term").groupBy("item_id", "doc_id", "pos").agg(F.sum("n").alias("score"))
     best = scored.withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "pos"))).where("n <= 8")
     cited = F.concat(F.lit("S"), "n", F.lit(":"), "doc_id", F.lit(":"), F.expr("pos div 5 + 1"), F.lit(":"), "score")
-    listed = best.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("n", cited.alias("c"), F.concat(F.lit("[S"), "n", F.lit("] "), F.left("x", F.lit(320))).alias("a")))).alias("l"))
+    quoted = best.join(rows.select("doc_id", "pos", "x"), ["doc_id", "pos"])
+    listed = quoted.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("n", cited.alias("c"), F.concat(F.lit("[S"), "n", F.lit("] "), F.left("x", F.lit(320))).alias("a")))).alias("l"))
     return listed.select("item_id", F.array_join(F.transform("l", lambda c: c["c"]), " ").alias("citations"), F.array_join(F.transform(F.slice("l", 1, 3), lambda c: c["a"]), "\n").alias("answer"))
 
 
@@ -258,7 +270,7 @@ def best_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line that best locates an item: one that holds it, or that it holds; both meet through a part of 8 characters that the held one begins with."""
     squeeze = lambda c: F.lower(F.regexp_replace(c, "[ \t\r\n]+", ""))
     q = table(spark, sf_dir, "benchmark").select("item_id", squeeze("text").alias("q")).where("length(q) >= 6")
-    b = lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", squeeze("line").alias("b")).where("length(b) >= 6")
+    b = lines(spread(table(spark, sf_dir, "documents"))).select("doc_id", "pos", squeeze("line").alias("b")).where("length(b) >= 6")
     found = T.held_in(q, "q", b, "b", 6).where(F.col("b").contains(F.col("q"))).withColumn("score", 1000 + F.least(F.length("q"), F.lit(200)))
     holds = T.held_in(b.where("length(b) >= 8"), "b", q, "q", 8).where(F.col("q").contains(F.col("b")) & (F.col("q") != F.col("b"))).withColumn("score", 600 + F.least(F.length("b"), F.lit(120)))
     every = found.select("item_id", "doc_id", "pos", "score").unionByName(holds.select("item_id", "doc_id", "pos", "score"))

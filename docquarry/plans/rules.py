@@ -12,7 +12,7 @@ from docquarry.functions import text as T
 from docquarry.operators.ranking import positions
 from docquarry.operators.vectors import VectorIndex
 from docquarry.plans.query import Catalog, table
-from docquarry.runtime import join_small
+from docquarry.runtime import join_small, spread
 from docquarry.sources.readers import lines
 
 Q = Catalog()
@@ -109,7 +109,7 @@ def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     squeeze = lambda c: F.lower(F.regexp_replace(c, "[ \t\r\n.,]+", ""))
     items = table(spark, sf_dir, "benchmark").select("item_id", squeeze("text").alias("q"), F.lower("text").alias("low"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", squeeze("text").alias("x"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", squeeze("text").alias("x"))
     inside = F.col("x").contains(F.col("q"))
     whole = T.held_in(items.where("length(q) >= 4").select("item_id", "q"), "q", docs, "x", 4).where(inside).select("item_id", "doc_id")
     words = F.array_distinct(F.filter(F.regexp_extract_all("low", F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= 3))
@@ -133,7 +133,7 @@ SELECT item_id, doc_id, pos, score FROM h WHERE score >= 1006 QUALIFY row_number
 def quote_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line that holds an item's longest fragment (its sentences of six characters and more); fragments meet lines through their first six characters."""
     fragments = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "[.\n]")).alias("f")).select("item_id", F.trim("f").alias("f")).where("length(f) >= 6")
-    rows = lines(table(spark, sf_dir, "documents"))
+    rows = lines(spread(table(spark, sf_dir, "documents")))
     met = T.held_in(fragments, "f", rows, "line", 6).where(F.col("line").contains(F.col("f")))
     scored = met.groupBy("item_id", "doc_id", "pos").agg((1000 + F.least(F.max(F.length("f")), F.lit(200))).alias("score")).where("score >= 1006")
     best = scored.groupBy("item_id").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("d"), (-F.col("pos")).alias("p"))).alias("b"))
