@@ -80,7 +80,8 @@ def held_in(short: DataFrame, held: str, long: DataFrame, holder: str, n: int =
     name = F.xxhash64(holder).alias("q_holder")
 
     def met(some: DataFrame, k: int) -> DataFrame:
-        parts = long.select(name, F.explode(F.array_distinct(parts_of(F.col(holder), k))).alias("q_part"))
+        named = F.arrays_zip(F.array_repeat(F.xxhash64(holder), F.length(holder)).alias("q_holder"), F.array_distinct(parts_of(F.col(holder), k)).alias("q_part"))  # hashed once, not for each part
+        parts = long.select(F.explode(named).alias("q")).select("q.*").where("q_part IS NOT NULL")
         pairs = parts.join(some.withColumn("q_part", F.left(held, F.lit(k))), "q_part").drop("q_part").distinct()
         return pairs.join(long.withColumn("q_holder", name), "q_holder").drop("q_holder")
 
