@@ -102,6 +102,15 @@ def head_tail(text: Column, most: int, head: float = 0.7, marker: str = " ... ")
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(first)), F.lit(marker), F.right(text, F.lit(most - first))))
 
 
+def keyword_cut(text: Column, most: int, keywords: tuple[str, ...], head: float = 0.45, tail: float = 0.15) -> Column:
+    """Texts over `most` characters keep that share in front and behind, and between them the different lines of the rest that name a keyword, in order, as long as each still fits."""
+    first, last = int(most * head), int(most * tail)
+    middle = F.split(F.substr(text, F.lit(first + 1), F.length(text) - first - last), "\n")
+    named = F.array_distinct(F.filter(middle, lambda x: reduce(lambda a, b: a | b, [x.contains(k) for k in keywords])))
+    kept = F.aggregate(named, F.lit(""), lambda acc, x: F.when(F.length(acc) + F.length(x) + 1 <= most - first - last, F.concat(acc, F.lit("\n"), x)).otherwise(acc))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(first)), kept, F.lit("\n"), F.right(text, F.lit(last))))
+
+
 def without_urls(text: Column) -> Column:
     return F.regexp_replace(text, r"https?://[^ \n\t]+", "")
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.operators import locate, sections as S, similar
+from docquarry.functions import text as T
+from docquarry.operators import locate, similar
+from docquarry.operators import sections as S
 from docquarry.plans.query import Catalog, table
 from docquarry.sources.readers import lines
 
@@ -112,3 +114,66 @@ def template_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = asked.join(located, ["doc_id", "ref"], "left_anti").select("doc_id", "ref", F.col("section_title").alias("title"))
     spans = best_spans(rest, template_spans(rows)).where((F.col("piped") > 0) | (F.col("chars") >= _SUBSTANCE))
     return located.unionByName(spans.select("doc_id", "ref", F.lit("similar").alias("how"), "start", "end", "score"))
+
+
+#: Points of a line for each word that it holds, and its excerpt's most lines and characters. A heading of at most 20 characters is a boundary.
+POINTS = (("ing", 8), ("the", 5), ("ou", 2))
+_ROWS, _CHARS, _BOUNDARY = 18, 600, 20
+
+
+def best_excerpts(rows: DataFrame, points: tuple[tuple[str, int], ...] = POINTS, most_rows: int = _ROWS, most_chars: int = _CHARS) -> DataFrame:
+    """doc_id, start, end (last line), points, excerpt: the run of lines with the most points, the first one of equals, of each document with any.
+
+    A run has at most most_rows lines and most_chars characters with line breaks, and no boundary behind its first line; a first line that is longer by
+    itself is a run, cut in its middle. Points never fall as a run grows, so each line begins one candidate, its longest run, which running
+    sums tell; no run's lines are gathered but the best one's.
+    """
+    own = sum((F.when(F.col("line").contains(w), n).otherwise(0) for w, n in points), F.lit(0))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bound = F.length(F.trim("line")).between(1, _BOUNDARY).cast("int")
+    rows = rows.select("doc_id", "pos", "line", own.alias("q_own"), (F.length("line") + 1).alias("q_len"), bound.alias("q_bound"))
+    rows = rows.withColumns({"q_points": F.sum("q_own").over(upto), "q_chars": F.sum("q_len").over(upto), "q_bounds": F.sum("q_bound").over(upto)})
+    ahead = F.array(*[F.struct(F.lit(d).alias("d"), F.lead("q_points", d).over(order).alias("points"), F.lead("q_chars", d).over(order).alias("chars"), F.lead("q_bounds", d).over(order).alias("bounds")) for d in range(most_rows)])
+    fits = lambda x: (x["d"] == 0) | ((x["chars"] - F.col("q_chars") + F.col("q_len") - 1 <= most_chars) & (x["bounds"] == F.col("q_bounds")))
+    longest = F.element_at(F.filter("q_ahead", lambda x: x["points"].isNotNull() & fits(x)), -1)
+    runs = rows.withColumn("q_ahead", ahead).withColumn("q_best", longest).select("doc_id", F.col("pos").alias("start"), (F.col("pos") + F.col("q_best.d")).alias("end"), (F.col("q_best.points") - F.col("q_points") + F.col("q_own")).alias("points"))
+    best = runs.where("points > 0").groupBy("doc_id").agg(F.min_by(F.struct("start", "end", "points"), F.struct(-F.col("points"), F.col("start"))).alias("b")).select("doc_id", "b.*")
+    lined = rows.select("doc_id", "pos", "line").join(best, "doc_id").where("pos BETWEEN start AND end").groupBy("doc_id", "start", "end", "points").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
+    return lined.select("doc_id", "start", "end", "points", T.head_tail(text, most_chars).alias("excerpt"))
+
+
+@Q.plan(
+    "m7_excerpt",
+    f"""
+WITH {_LINES},
+w AS (SELECT *, {" + ".join(f"{n} * contains(line, '{w}')::INT" for w, n in POINTS)} AS own, (length(trim(line)) BETWEEN 1 AND {_BOUNDARY})::INT AS bound FROM l),
+r AS (SELECT a.doc_id, a.pos AS start, b.pos AS "end", sum(c.own)::BIGINT AS points, string_agg(c.line, chr(10) ORDER BY c.pos) AS text FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + {_ROWS - 1}
+  JOIN w c ON c.doc_id = a.doc_id AND c.pos BETWEEN a.pos AND b.pos GROUP BY a.doc_id, a.pos, b.pos HAVING b.pos = a.pos OR (sum(length(c.line) + 1) - 1 <= {_CHARS} AND sum(CASE WHEN c.pos > a.pos THEN c.bound ELSE 0 END) = 0)),
+k AS (SELECT * FROM r WHERE points > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, start, "end" DESC) = 1)
+SELECT doc_id, start, "end", points, CASE WHEN length(text) <= {_CHARS} THEN text ELSE left(text, {int(_CHARS * 0.7)}) || ' ... ' || right(text, {_CHARS - int(_CHARS * 0.7)}) END AS excerpt FROM k
+""",
+)
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best excerpt of each document."""
+    rows = lines(table(spark, sf_dir, "documents")).withColumn("pos", F.col("pos").cast("long"))
+    return best_excerpts(rows).withColumn("points", F.col("points").cast("long"))
+
+
+_KEEP = ("ing", "que")
+
+
+@Q.plan(
+    "h10_keyword_cut",
+    f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(substr(text, 361, n - 480), chr(10)) AS x FROM d WHERE n > 800)),
+k AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS i FROM m WHERE {" OR ".join(f"contains(line, '{w}')" for w in _KEEP)} GROUP BY doc_id, line),
+f AS (SELECT doc_id, 0::BIGINT AS i, '' AS kept FROM d WHERE n > 800 UNION ALL SELECT f.doc_id, k.i, CASE WHEN length(kept) + length(line) + 1 <= 320 THEN kept || chr(10) || line ELSE kept END FROM f JOIN k ON k.doc_id = f.doc_id AND k.i = f.i + 1),
+e AS (SELECT doc_id, arg_max(kept, i) AS kept FROM f GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n <= 800 THEN text ELSE left(text, 360) || kept || chr(10) || right(text, 120) END AS text FROM d LEFT JOIN e ON e.doc_id = d.doc_id
+""",
+)
+def keyword_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut to 800 characters around what names a keyword."""
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.keyword_cut(F.col("text"), 800, _KEEP).alias("text"))
