@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry import catalog
+from docquarry.functions import text as T
 from docquarry.operators import similar
 from docquarry.plans import templates
 
@@ -88,3 +89,22 @@ def test_query_against_rules(spark):
     assert len(want) > 20 and len(located) > 20
     found = catalog.QUERIES["c2_section_resolve"](spark, DIR).where("found <> 'part' AND source <> 'title'").where(F.col("content").contains("|") | (F.length("content") >= 60))
     assert located == {(r.doc_id, r.ref) for r in found.collect()}
+
+
+def test_excerpt_edges(spark):
+    long = "x" * 700 + " thing the"
+    texts = {1: long, 2: "\n".join(["nothing"] * 3), 3: "\n".join(["the end of it all, with some words"] * 30), 4: "the first line of all\nHead\nthing after the boundary here", 5: "", 6: "the\n" + "y" * 598 + "\nthing"}
+    df = spark.createDataFrame([(i, p, x) for i, t in texts.items() for p, x in enumerate(t.split("\n"))], "doc_id long, pos long, line string")
+    got = {r.doc_id: (r.start, r.end, r.points, r.excerpt) for r in templates.best_excerpts(df).collect()}
+    assert got[1] == (0, 0, 13, long[:420] + " ... " + long[-180:])
+    assert got[3][:3] == (0, 16, 85)  # seventeen lines of 34 characters and a break fill 594
+    assert got[4][:3] == (1, 2, 15)  # a boundary begins a run, but none goes on past one
+    assert got[6][:3] == (2, 2, 8)
+    assert set(got) == {1, 3, 4, 6}
+
+
+def test_keyword_cut_edges(spark):
+    text = "a" * 60 + "\nkey one\nother\nkey one\nkey " + "z" * 50 + "\nkey 2\n" + "b" * 40
+    rows = spark.createDataFrame([(0, text), (1, "short"), (2, None), (3, "c" * 101)], "i long, t string")
+    got = {r.i: r.t for r in rows.select("i", T.keyword_cut(F.col("t"), 100, ("key",)).alias("t")).collect()}
+    assert got == {0: "a" * 45 + "\nkey one\nkey 2\n" + "b" * 15, 1: "short", 2: None, 3: "c" * 45 + "\n" + "c" * 15}
