@@ -93,7 +93,7 @@ def test_query_against_rules(spark):
 
 def test_excerpt_edges(spark):
     long = "x" * 700 + " thing the"
-    texts = {1: long, 2: "\n".join(["nothing"] * 3), 3: "\n".join(["the end of it all, with some words"] * 30), 4: "the first line of all\nHead\nthing after the boundary here", 5: "", 6: "the\n" + "y" * 598 + "\nthing"}
+    texts = {1: long, 2: "\n".join(["no word"] * 3), 3: "\n".join(["the end of it all, with some words"] * 30), 4: "the first line of all\nHead\nthing after the boundary here", 5: "", 6: "the\n" + "y" * 598 + "\nthing"}
     df = spark.createDataFrame([(i, p, x) for i, t in texts.items() for p, x in enumerate(t.split("\n"))], "doc_id long, pos long, line string")
     got = {r.doc_id: (r.start, r.end, r.points, r.excerpt) for r in templates.best_excerpts(df).collect()}
     assert got[1] == (0, 0, 13, long[:420] + " ... " + long[-180:])
