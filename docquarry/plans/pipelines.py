@@ -139,7 +139,13 @@ def source_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(d, "conv_id").where(F.col("x").contains(F.col("term"))).groupBy("conv_id", "turn").agg(F.sum(F.least(tf, F.lit(4)) * 2).cast("long").alias("score"))
 
 
-@Q.plan("t10_fragments")
+@Q.plan(
+    "t10_fragments",
+    r"""WITH k AS (SELECT item_id, regexp_replace(text, '[\s\p{Z}]+', '', 'g') AS key, list_filter(list_transform(string_split_regex(text, '[.,;:!?\n]+'), lambda p: regexp_replace(p, '[\s\p{Z}]+', '', 'g')), lambda p: length(p) >= 4) AS parts FROM benchmark WHERE text IS NOT NULL),
+e AS (SELECT item_id, unnest(x) AS fragment, generate_subscripts(x, 1) AS i FROM (SELECT item_id, list_concat([left(key, 96), left(key, 64), left(key, 36)], parts[:48]) AS x FROM k)),
+d AS (SELECT item_id, fragment, min(i) AS i FROM e GROUP BY item_id, fragment)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY length(fragment) DESC, i) - 1)::INT AS pos, fragment FROM d""",
+)
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search fragments of quotes: the compact text at 96, 64 and 36 characters and its longer parts, distinct, longest first."""
     key = T.compact(F.col("text"))
