@@ -21,25 +21,25 @@ def parents(rows: DataFrame, doc: str = "doc_id", pos: str = "pos", level: str =
     return rows.withColumn("parent_pos", of.otherwise(F.greatest(*last)))
 
 
-def chapter_ids(rows: DataFrame, doc: str = "doc_id", pos: str = "pos", level: str = "level") -> DataFrame:
+def chapter_ids(rows: DataFrame, doc: str = "doc_id", pos: str = "pos", level: str = "level", levels: int = LEVELS) -> DataFrame:
     """Adds chapter_id of heading rows: counters per level, deeper ones reset, skipped shallower ones counted as 1.
 
     A level's counter is its running count since the last smaller heading; a skipped level that a deeper heading opened starts at 1.
     """
     upto = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     out = rows
-    for j in range(1, LEVELS + 1):
+    for j in range(1, levels + 1):
         out = out.withColumn(f"q_e{j}", F.sum(F.when((F.col(level) >= 1) & (F.col(level) < j), 1).otherwise(0)).over(upto))
-    for j in range(1, LEVELS + 1):
+    for j in range(1, levels + 1):
         own = Window.partitionBy(doc, f"q_e{j}").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
         first_own = F.min(F.when(F.col(level) == j, F.col(pos))).over(own)
         first_deep = F.min(F.when(F.col(level) > j, F.col(pos))).over(own)
         opened = F.when(first_deep.isNotNull() & (first_own.isNull() | (first_deep < first_own)), 1).otherwise(0)
         out = out.withColumn(f"q_c{j}", F.sum(F.when(F.col(level) == j, 1).otherwise(0)).over(own) + opened)
     name = F.when(F.col(level) == 1, F.col("q_c1").cast("string"))
-    for k in range(2, LEVELS + 1):
+    for k in range(2, levels + 1):
         name = name.when(F.col(level) == k, F.concat_ws(".", *[F.col(f"q_c{j}").cast("string") for j in range(1, k + 1)]))
-    return out.withColumn("chapter_id", name).drop(*[f"q_{x}{j}" for x in "ec" for j in range(1, LEVELS + 1)])
+    return out.withColumn("chapter_id", name).drop(*[f"q_{x}{j}" for x in "ec" for j in range(1, levels + 1)])
 
 
 def ends(rows: DataFrame, doc: str = "doc_id", pos: str = "pos", level: str = "level") -> DataFrame:
