@@ -102,7 +102,7 @@ def range_text(ranges: DataFrame, blocks: DataFrame, key: str, doc: str = "doc_i
 def assembled(nodes: DataFrame, node: str, parent: str, order: str, title: str = "title", content: str = "content") -> DataFrame:
     """node, text: each node's own content, then its children's titles (##) and contents in order, each followed by its children's (###); deeper ones stay out.
 
-    Empty and null titles and contents give no line. Orders that tie are told apart by node.
+    Empty and null titles and contents give no line. Orders that tie are told apart by node, repeated nodes by their text.
     """
     at = F.struct(F.col(order).alias("o"), F.col(node).alias("n"))
     rows = nodes.select(F.col(node).alias("q_node"), F.col(parent).alias("q_parent"), at.alias("q_at"), F.nullif(F.coalesce(title, F.lit("")), F.lit("")).alias("q_title"), F.nullif(F.coalesce(content, F.lit("")), F.lit("")).alias("q_text"))
