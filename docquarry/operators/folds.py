@@ -1,63 +1,135 @@
-"""Outline rules that depend on all rows before (folds per document), numbering of appended rows, and roll-ups over dotted numbers.
+"""Rules that depend on all rows before (folds per document), numbering of appended rows, and roll-ups over dotted numbers.
 
-A fold gathers one document's rows, as an outline is one document's; rows of different documents never meet.
+A fold reads a document's rows in order and keeps its state only, so that a document of any length takes linear time and no list of its rows is
+held; rows of different documents never meet.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-LEVELS = 4
+from docquarry.runtime import ship
 
+LEVELS = 4
 
-def _listed(rows: DataFrame, doc: str, *fields: Column) -> DataFrame:
-    return rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("q_rows"))
 
+def folded(rows: DataFrame, doc: str, order: list[str], begin: Callable[[], dict], step: Callable[[dict, dict], dict | None], out: str) -> DataFrame:
+    """doc and the columns out: what step(state, row) gives for the rows of a document in order; None gives no row. step changes the state that begin made.
 
-def _replaced(values: Column, level: Column, own: Column, none: Column) -> Column:
-    """Values by level (from 1), with own at level and none below it."""
-    return F.transform(values, lambda x, i: F.when(i + 1 == level, own).when(i + 1 > level, none).otherwise(x))
+    Rows go to their document's partition and are sorted there, on disk if need be; a task passes over them once. Rows with a null doc are one document;
+    rows that tie in order may come in any order.
+    """
+    ship(rows.sparkSession)
+    schema = StructType([rows.schema[doc], *StructType.fromDDL(out).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, now, fresh = None, None, True
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                if fresh or row[doc] != now:
+                    state, now, fresh = begin(), row[doc], False
+                told = step(state, row)
+                if told is not None:
+                    made.append({doc: now, **told})
+            yield pa.RecordBatch.from_pylist(made, schema=arrow)
+
+    return rows.repartition(doc).sortWithinPartitions(doc, *order).mapInArrow(run, schema)
+
+
+def _place(state: dict, r: dict) -> dict:
+    own, parent = r["q_level"], r["q_at"]
+    if parent is None:
+        parent = next((state[k] for k in range(min(own or 1, LEVELS) - 1, 0, -1) if k in state), None)
+        own = 1 if parent is None else own
+    if own is not None:
+        for k in range(max(own, 1), LEVELS + 1):
+            state.pop(k, None)
+        if 1 <= own <= LEVELS:
+            state[own] = r["n"]
+    return {"n": r["n"], "parent": parent, "level": own}
 
 
 def place_in_outline(rows: DataFrame, doc: str, pos: str, level: str, name: str, parent_name: str) -> DataFrame:
     """doc, pos (n), parent, level of each row: below the row that it names, wherever that stands and if it isn't itself, else below the
-    last row of the nearest smaller level that is still open, else a root, whose level becomes 1."""
+    last row of the nearest smaller level that is still open, else a root, whose level becomes 1. A null level is open to none."""
     named = rows.groupBy(doc, F.col(name).alias(parent_name)).agg(F.min(pos).alias("q_at"))
     found = rows.join(named, [doc, parent_name], "left").withColumn("q_at", F.when(F.col("q_at") != F.col(pos), F.col("q_at")))
-    out_type = "array<struct<n:int,parent:int,level:int>>"
-    start = F.struct(F.array(*[F.lit(0)] * LEVELS).alias("open"), F.array().cast(out_type).alias("out"))
+    told = found.select(doc, F.col(pos).cast("int").alias("n"), F.col(level).cast("int").alias("q_level"), F.col("q_at").cast("int").alias("q_at"))
+    return folded(told, doc, ["n", "q_level", "q_at"], dict, _place, "n int, parent int, level int")
 
-    def step(acc: Column, r: Column) -> Column:
-        above = F.coalesce(*[F.when((r["lv"] > j) & (F.get(acc["open"], F.lit(j - 1)) > 0), F.get(acc["open"], F.lit(j - 1))) for j in range(LEVELS - 1, 0, -1)])
-        parent = F.coalesce(r["at"], above)
-        own = F.when(parent.isNull(), 1).otherwise(r["lv"])
-        placed = F.struct(r["n"].alias("n"), parent.alias("parent"), own.alias("level"))
-        return F.struct(_replaced(acc["open"], own, r["n"], F.lit(0)).alias("open"), F.concat(acc["out"], F.array(placed)).alias("out"))
 
-    listed = _listed(found, doc, F.col(pos).cast("int").alias("n"), F.col(level).cast("int").alias("lv"), F.col("q_at").cast("int").alias("at"))
-    return listed.select(doc, F.explode(F.aggregate("q_rows", start, step, lambda acc: acc["out"])).alias("q")).select(doc, "q.n", "q.parent", "q.level")
+def _smooth(last: dict, r: dict) -> dict:
+    path, level = r["q_path"].split(".") if r["q_path"] else [], r["q_level"]
+    k = len(path)
+    if k and (level or 0) > 0 and (k == 1 or k not in last or k - 1 in last or last[k][:-1] == path[:-1]):
+        for j in [j for j in last if j > k]:
+            del last[j]
+        last[k] = path
+        level = 2 if k == 1 else min(k, LEVELS)
+    return {"n": r["n"], "level": level}
 
 
-def smooth_levels(rows: DataFrame, doc: str, pos: str, text: str, level: str, depth: int = 6) -> DataFrame:
+def smooth_levels(rows: DataFrame, doc: str, pos: str, text: str, level: str) -> DataFrame:
     """doc, pos (n), level: headings (level above 0) whose number carries on from the last ones take its level: 2 for one part, else the number of parts, 4 at most.
 
-    A number carries on if it has one part, if its depth or the one above was not met since the last smaller one, or if it shares all
-    but its last part with the last number of its depth.
+    A number carries on if it has one part, if its depth was not met or the one above was met since the last smaller one, or if it shares all
+    but its last part with the last number of its depth. Null levels stay null.
     """
-    start = F.struct(F.array(*[F.lit("")] * depth).alias("last"), F.array().cast("array<struct<n:int,level:int>>").alias("out"))
-    up = lambda c: F.regexp_replace(c, "[.]?[0-9]+$", "")
+    path = F.regexp_extract(F.coalesce(text, F.lit("")), "^([0-9]+(?:[.][0-9]+)*)[.、 ]", 1)
+    told = rows.select(doc, F.col(pos).cast("int").alias("n"), F.col(level).cast("int").alias("q_level"), path.alias("q_path"))
+    return folded(told, doc, ["n", "q_level", "q_path"], dict, _smooth, "n int, level int")
 
-    def step(acc: Column, r: Column) -> Column:
-        before, above = F.get(acc["last"], r["d"] - 1), F.get(acc["last"], r["d"] - 2)
-        on = (r["lv"] > 0) & (r["d"] > 0) & ((r["d"] == 1) | (before == "") | F.coalesce(above != "", F.lit(False)) | (up(before) == up(r["path"])))
-        own = F.when(~on, r["lv"]).when(r["d"] == 1, 2).otherwise(F.least(r["d"], F.lit(4)))
-        last = F.when(on, _replaced(acc["last"], r["d"], r["path"], F.lit(""))).otherwise(acc["last"])
-        return F.struct(last.alias("last"), F.concat(acc["out"], F.array(F.struct(r["n"].alias("n"), own.alias("level")))).alias("out"))
 
-    path = F.regexp_extract(F.coalesce(text, F.lit("")), "^([0-9]+(?:[.][0-9]+)*)[.、 ]", 1)
-    listed = _listed(rows, doc, F.col(pos).cast("int").alias("n"), F.col(level).cast("int").alias("lv"), path.alias("path"), F.when(path == "", 0).otherwise(F.size(F.split(path, "[.]"))).alias("d"))
-    return listed.select(doc, F.explode(F.aggregate("q_rows", start, step, lambda acc: acc["out"])).alias("q")).select(doc, "q.n", "q.level")
+def batched(rows: DataFrame, doc: str, order: str, size: str, most: int) -> DataFrame:
+    """doc, order, batch (from 0): rows dealt to batches in order; a batch closes when the next row would pass `most`, so a larger row is a batch of its own.
+
+    Null sizes count as 0; rows that tie in order come by size.
+    """
+
+    def step(state: dict, r: dict) -> dict:
+        n = r["q_n"] or 0
+        over = state["size"] > 0 and state["size"] + n > most
+        state["batch"] += over
+        state["size"] = n + (0 if over else state["size"])
+        return {order: r[order], "batch": state["batch"]}
+
+    told = rows.select(doc, order, F.col(size).cast("long").alias("q_n"))
+    return folded(told, doc, [order, "q_n"], lambda: {"size": 0, "batch": 0}, step, f"`{order}` {rows.schema[order].dataType.simpleString()}, batch int")
+
+
+def within_budget(rows: DataFrame, doc: str, order: list[str], key: str, size: str, most: int) -> DataFrame:
+    """doc, key of the rows that are taken in order while they fit into what is left of `most`; the first is always taken. Null sizes count as 0."""
+
+    def step(state: dict, r: dict) -> dict | None:
+        n = r[size] or 0
+        if state and state["size"] + n > most:
+            return None
+        state["size"] = state.get("size", 0) + n
+        return {key: r[key]}
+
+    return folded(rows.select(doc, *dict.fromkeys([*order, key, size])), doc, order, dict, step, f"`{key}` {rows.schema[key].dataType.simpleString()}")
+
+
+def unrepeated(rows: DataFrame, doc: str, pos: str, text: str, shortest: int = 6) -> DataFrame:
+    """doc, pos of the texts that don't repeat the last one kept, whole or, from `shortest` characters on, as a part of it. Null texts are dropped."""
+
+    def step(state: dict, r: dict) -> dict | None:
+        t, last = r["q_text"], state.get("last")
+        if last is not None and (t == last or (len(t) >= shortest and t in last)):
+            return None
+        state["last"] = t
+        return {pos: r[pos]}
+
+    told = rows.select(doc, pos, F.col(text).alias("q_text")).where("q_text IS NOT NULL")
+    return folded(told, doc, [pos, "q_text"], dict, step, f"`{pos}` {rows.schema[pos].dataType.simpleString()}")
 
 
 def appended(rows: DataFrame, last: DataFrame, parent: str, order: str, number: str) -> DataFrame:

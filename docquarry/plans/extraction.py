@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.operators import folds
 from docquarry.plans.query import Catalog, table
 from docquarry.runtime import ship
 from docquarry.sources.readers import lines
@@ -60,14 +61,7 @@ def best_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeat_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings that repeat the last kept one become body: a fold per document, as the last kept heading depends on all before."""
     rows = lines(table(spark, sf_dir, "documents")).where(F.length(F.trim("line")).between(1, 80)).select("doc_id", "pos", F.trim("line").alias("t"))
-    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("x"))
-    start = F.struct(F.lit("").alias("last"), F.array().cast("array<int>").alias("kept"))
-
-    def step(acc, r):
-        again = (r["t"] == acc["last"]) | ((F.length(r["t"]) >= 6) & acc["last"].contains(r["t"]))
-        return F.struct(F.when(again, acc["last"]).otherwise(r["t"]).alias("last"), F.when(again, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(r["pos"]))).alias("kept"))
-
-    return listed.select("doc_id", F.explode(F.aggregate("x", start, step, lambda acc: acc["kept"])).alias("pos"))
+    return folds.unrepeated(rows, "doc_id", "pos", "t")
 
 
 @Q.plan("h13_line_merge", "WITH l AS (SELECT doc_id, i - 1 AS pos, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)), r AS (SELECT *, coalesce(regexp_matches(lag(line) OVER (PARTITION BY doc_id ORDER BY pos), '[.!?:]$'), true) AS brk FROM l WHERE trim(line) <> ''), p AS (SELECT *, sum(brk::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS para FROM r) SELECT doc_id, para::BIGINT AS para, string_agg(line, ' ' ORDER BY pos) AS text FROM p GROUP BY doc_id, para")

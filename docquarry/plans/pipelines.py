@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.operators import folds
 from docquarry.plans.query import Catalog, table
 from docquarry.runtime import ship
 
@@ -103,29 +104,16 @@ def scored_answers(spark: SparkSession, c: DataFrame) -> DataFrame:
 @Q.plan("e13_greedy_batches", 'WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k FROM conversations), f AS (SELECT conv_id, turn, k, n AS size, 0 AS batch FROM t WHERE k = 1 UNION ALL SELECT t.conv_id, t.turn, t.k, CASE WHEN f.size > 0 AND f.size + t.n > 2000 THEN t.n ELSE f.size + t.n END, f.batch + (f.size > 0 AND f.size + t.n > 2000)::INT FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1) SELECT conv_id, turn, batch FROM f')
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation dealt to batches in order, a batch closing when the next turn would pass 2000 characters: a fold."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("t"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("size"), F.array().cast("array<struct<turn:bigint,batch:int>>").alias("out"))
-
-    def step(acc, x):
-        over = (acc["size"] > 0) & (acc["size"] + x["n"] > 2000)
-        batch = acc["batch"] + over.cast("int")
-        return F.struct(batch.alias("batch"), (F.when(over, 0).otherwise(acc["size"]) + x["n"]).alias("size"), F.concat(acc["out"], F.array(F.struct(x["turn"].alias("turn"), batch.alias("batch")))).alias("out"))
-
-    return turns.select("conv_id", F.explode(F.aggregate("t", start, step, lambda acc: acc["out"])).alias("x")).select("conv_id", "x.turn", "x.batch")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return folds.batched(turns, "conv_id", "turn", "n", 2000)
 
 
 @Q.plan("e14_budget_selection", "WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY (role <> 'user')::INT, length(text), turn) AS k FROM conversations), f AS (SELECT conv_id, turn, k, n AS size, true AS took FROM t WHERE k = 1 UNION ALL SELECT t.conv_id, t.turn, t.k, CASE WHEN f.size + t.n <= 1500 THEN f.size + t.n ELSE f.size END, f.size + t.n <= 1500 FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1) SELECT conv_id, turn FROM f WHERE took")
 def budget_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each conversation, turns by role and size while they fit in 1500 characters; the first is always taken: a fold."""
     rank = F.when(F.col("role") == "user", 0).otherwise(1)
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("p"), F.length("text").alias("n"), "turn"))).alias("t"))
-    start = F.struct(F.lit(0).alias("size"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc, x):
-        fits = (F.size(acc["out"]) == 0) | (acc["size"] + x["n"] <= 1500)
-        return F.struct((acc["size"] + F.when(fits, x["n"]).otherwise(0)).alias("size"), F.when(fits, F.concat(acc["out"], F.array(x["turn"]))).otherwise(acc["out"]).alias("out"))
-
-    return turns.select("conv_id", F.explode(F.array_sort(F.aggregate("t", start, step, lambda acc: acc["out"]))).alias("turn"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", rank.alias("p"), F.length("text").alias("n"))
+    return folds.within_budget(turns, "conv_id", ["p", "n", "turn"], "turn", "n", 1500)
 
 
 @Q.plan("j6_source_ask", "WITH t AS (SELECT DISTINCT conv_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 8))) AS term FROM conversations WHERE role = 'user' AND turn <= 1), d AS (SELECT conv_id, turn, lower(text) AS x FROM conversations WHERE role = 'assistant') SELECT t.conv_id, d.turn, sum(least((length(x) - length(replace(x, term, ''))) // length(term), 4) * 2)::BIGINT AS score FROM t JOIN d ON t.conv_id = d.conv_id AND contains(x, term) GROUP BY 1, 2")
