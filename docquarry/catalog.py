@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from docquarry.plans import assembly, consistency, documents, evidence, extraction, payloads, pipelines, relational, rules, scans, streams, templates
+from docquarry.plans import assembly, composition, consistency, documents, evidence, extraction, payloads, pipelines, relational, rules, scans, streams, templates
 from docquarry.plans.query import narrowed, widened
 
-PARTS = (documents.Q, extraction.Q, pipelines.Q, relational.Q, streams.Q, assembly.Q, rules.Q, evidence.Q, templates.Q, payloads.Q, consistency.Q, scans.Q)
+PARTS = (documents.Q, extraction.Q, pipelines.Q, relational.Q, streams.Q, assembly.Q, rules.Q, evidence.Q, templates.Q, payloads.Q, consistency.Q, scans.Q, composition.Q)
 #: Lengths, places and ranks, which are 32-bit in Spark and 64-bit in DuckDB.
 WIDE = {
     "a1_line_scan": ("pos",), "a3_fragment_merge": ("page", "page_end"), "a8_section_scan": ("start_block", "end_block"), "a14_page_scan": ("n",), "a17_preview": ("bars",),

@@ -19,8 +19,8 @@ from docquarry.runtime import ship
 LEVELS = 4
 
 
-def folded(rows: DataFrame, doc: str, order: list[str], begin: Callable[[], dict], step: Callable[[dict, dict], dict | None], out: str) -> DataFrame:
-    """doc and the columns out: what step(state, row) gives for the rows of a document in order; None gives no row. step changes the state that begin made.
+def folded(rows: DataFrame, doc: str, order: list[str], begin: Callable[[], dict], step: Callable[[dict, dict], dict | list | None], out: str) -> DataFrame:
+    """doc and the columns out: what step(state, row) gives for the rows of a document in order; None gives no row, a list one for each of its items. step changes the state that begin made.
 
     Rows go to their document's partition and are sorted there, on disk if need be; a task passes over them once. Rows with a null doc are one document;
     rows that tie in order may come in any order.
@@ -37,8 +37,8 @@ def folded(rows: DataFrame, doc: str, order: list[str], begin: Callable[[], dict
                 if fresh or row[doc] != now:
                     state, now, fresh = begin(), row[doc], False
                 told = step(state, row)
-                if told is not None:
-                    made.append({doc: now, **told})
+                for x in told if isinstance(told, list) else [] if told is None else [told]:
+                    made.append({doc: now, **x})
             yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     return rows.repartition(doc).sortWithinPartitions(doc, *order).mapInArrow(run, schema)
