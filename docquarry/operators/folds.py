@@ -47,12 +47,12 @@ def folded(rows: DataFrame, doc: str, order: list[str], begin: Callable[[], dict
 def _place(state: dict, r: dict) -> dict:
     own, parent = r["q_level"], r["q_at"]
     if parent is None:
-        parent = next((state[k] for k in range(min(own or 1, LEVELS) - 1, 0, -1) if k in state), None)
-        own = 1 if parent is None else own
+        above = max((k for k in state if k < (own or 1)), default=None)
+        parent, own = (None, 1) if above is None else (state[above], own)
     if own is not None:
-        for k in range(max(own, 1), LEVELS + 1):
-            state.pop(k, None)
-        if 1 <= own <= LEVELS:
+        for k in [k for k in state if k >= own]:
+            del state[k]
+        if own >= 1:
             state[own] = r["n"]
     return {"n": r["n"], "parent": parent, "level": own}
 
