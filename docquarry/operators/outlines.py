@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.text import outline_key
 from docquarry.operators.folds import place_in_outline
 from docquarry.operators.trees import flatten
+from docquarry.runtime import checkpointed
 
 #: Cells that a row of an index table has at least, and those from which on a number may stand before its group.
 CELLS, NUMBERED = 3, 4
@@ -52,6 +53,7 @@ def outline(rows: DataFrame, doc: str, pos: str, headers: tuple[str, ...] = ())
     nodes = heads.unionByName(below).unionByName(stacked)
     ordinal = F.row_number().over(Window.partitionBy("d", "up").orderBy("n", "node")).cast("string")
     of = lambda c: F.when(F.col(c).isNotNull(), F.to_json(F.struct(F.col("d").alias("d"), F.col(c).alias("x"))))
-    tree = flatten(nodes.select(of("node").alias("id"), of("up").alias("parent_id"), ordinal.alias("name"), "d", "n", "kind", F.col("name").alias("title")))
+    # Read several times by the rounds of flatten(): made once.
+    tree = flatten(checkpointed(nodes.select(of("node").alias("id"), of("up").alias("parent_id"), ordinal.alias("name"), "d", "n", "kind", F.col("name").alias("title"))))
     number = F.replace("path", F.lit(" / "), F.lit("."))
     return tree.select(F.col("d").alias(doc), F.col("n").alias(pos), number.alias("number"), F.nullif(F.regexp_replace(number, "[.]?[0-9]+$", ""), F.lit("")).alias("parent"), F.col("title").alias("name"), "kind")

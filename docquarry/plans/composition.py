@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import composition as C
+from docquarry.operators import outlines
 from docquarry.plans.query import Catalog, table
 from docquarry.sources.readers import lines
 
@@ -88,3 +89,32 @@ def clause_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sections: which are risk clauses, which are forms for reviewing."""
     rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", *[F.expr(v).alias(k) for k, v in _CLAUSE.items()])
     return rows.select("doc_id", C.risk_clause(F.col("title"), F.col("relevance"), F.col("content"), _ENGLISH).alias("risk"), C.review_table(F.col("title"), F.col("content"), "^List:", ("item", "score"), _ENGLISH).alias("review"))
+
+
+#: Portable SQL: the parts of a brand and size as rows of a document; three sizes in ten are index tables.
+_ROWS = """SELECT doc, n, CASE WHEN k = 1 THEN 'Top' ELSE 'N ' || (n * 7 % 13) END AS name, CASE WHEN n % 3 = 0 THEN '| ' || n || ' | Set ' || (n % 4) || ' | x | y |' END AS quote, CAST(n % 4 + 1 AS INT) AS level,
+CASE WHEN of_index THEN CASE WHEN n % 3 > 0 THEN 'Group ' || (n % 2) END WHEN n % 9 = 0 THEN 'top' WHEN n % 9 = 1 THEN 'nowhere' END AS parent_name, CASE WHEN of_index THEN 'index_table' ELSE 'text' END AS source_kind
+FROM (SELECT p_brand || '-' || (p_size % 10) AS doc, p_partkey AS n, p_size % 10 < 3 AS of_index, row_number() OVER (PARTITION BY p_brand, p_size % 10 ORDER BY p_partkey) AS k FROM {part}) p"""
+
+
+@Q.plan(
+    "l2_outline",
+    f"""WITH RECURSIVE r AS ({_ROWS.format(part="part")}),
+i AS (SELECT doc, n, name, coalesce(parent_name, 'Set ' || (n % 4)) AS grp FROM r WHERE source_kind = 'index_table' QUALIFY count(DISTINCT coalesce(parent_name, 'Set ' || (n % 4))) OVER (PARTITION BY doc) >= 2),
+g AS (SELECT doc, grp, min(n) AS n FROM i GROUP BY 1, 2), h AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n) AS o FROM g),
+c AS (SELECT doc, grp, name, min(n) AS n FROM i GROUP BY 1, 2, 3),
+d AS (SELECT doc, name, min(n) AS n, arg_min(level, n) AS level, arg_min(coalesce(parent_name, ''), n) AS wanted FROM r WHERE doc NOT IN (SELECT doc FROM i) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n) AS k, min(n) OVER (PARTITION BY doc) AS top FROM d),
+f AS (SELECT doc, k, n, [n, 0, 0, 0] AS st, NULL::BIGINT AS parent FROM k WHERE k = 1 UNION ALL
+  SELECT doc, k, n, list_transform([1, 2, 3, 4], lambda j: CASE WHEN j = CASE WHEN p IS NULL THEN 1 ELSE level END THEN n WHEN j > CASE WHEN p IS NULL THEN 1 ELSE level END THEN 0 ELSE st[j] END), p FROM (
+    SELECT k.doc, k.k, k.n, k.level, f.st, CASE WHEN wanted = 'top' THEN top WHEN level > 3 AND st[3] > 0 THEN st[3] WHEN level > 2 AND st[2] > 0 THEN st[2] WHEN level > 1 AND st[1] > 0 THEN st[1] END AS p
+    FROM f JOIN k ON k.doc = f.doc AND k.k = f.k + 1)),
+o AS (SELECT doc, n, parent, row_number() OVER (PARTITION BY doc, parent ORDER BY n) AS o FROM f),
+t AS (SELECT doc, n, o::VARCHAR AS number, NULL::VARCHAR AS parent FROM o WHERE parent IS NULL UNION ALL SELECT o.doc, o.n, t.number || '.' || o.o, t.number FROM o JOIN t ON t.doc = o.doc AND t.n = o.parent)
+SELECT t.doc, t.n, number, parent, name, 'row' AS kind FROM t JOIN d ON d.doc = t.doc AND d.n = t.n
+UNION ALL SELECT doc, n, o::VARCHAR, NULL, grp, 'group' FROM h
+UNION ALL SELECT c.doc, c.n, h.o || '.' || row_number() OVER (PARTITION BY c.doc, c.grp ORDER BY c.n), h.o::VARCHAR, name, 'row' FROM c JOIN h ON h.doc = c.doc AND h.grp = c.grp""",
+)
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands' parts of a size as an outline each."""
+    return outlines.outline(spark.sql(_ROWS.format(part=f"parquet.`{sf_dir}/part.parquet`")), "doc", "n")
