@@ -44,7 +44,8 @@ def needs_split(words: Words) -> Column:
     size = F.length(compact(quote))
     free = (F.coalesce("parent_name", F.lit("")) == "") & (F.coalesce("source_kind", F.lit("")) != "index_table")
     closed = ~_any(compact(quote), tuple("".join(w.split()) for w in words.open_lists))
-    return free & size.between(SHORTEST, LONGEST) & closed & _any(quote, words.markers) & _any(F.concat_ws(" ", quote, "name"), words.terms)
+    cheap = free & (F.length(quote) >= SHORTEST) & _any(quote, words.markers) & _any(F.concat_ws(" ", quote, "name"), words.terms)
+    return cheap & size.between(SHORTEST, LONGEST) & closed
 
 
 def pieces(text: str, separators: re.Pattern) -> list[str]:
