@@ -51,7 +51,13 @@ def section_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.ends(headings(spark, sf_dir))
 
 
-@Q.plan("e3_chapter_ids")
+@Q.plan(
+    "e3_chapter_ids",
+    f"""WITH RECURSIVE {_H}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM h WHERE level > 0),
+f AS (SELECT doc_id, k, pos, list_transform(range(0, level), lambda j: 1) AS c FROM k WHERE k = 1
+  UNION ALL SELECT k.doc_id, k.k, k.pos, list_concat(list_transform(range(1, k.level), lambda j: coalesce(f.c[j], 1)), [coalesce(f.c[k.level], 0) + 1]) FROM f JOIN k ON k.doc_id = f.doc_id AND k.k = f.k + 1)
+SELECT h.doc_id, h.pos, h.level, array_to_string(f.c, '.') AS chapter_id FROM h LEFT JOIN f ON f.doc_id = h.doc_id AND f.pos = h.pos""",
+)
 def chapter_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.chapter_ids(headings(spark, sf_dir))
 
