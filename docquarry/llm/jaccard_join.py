@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.bytewords import chunks, mix
 from docquarry.llm.components import components
 from docquarry.llm.partenum import Scheme, folded, forest, linked, most_apart, near_pairs, sets, sketch
-from docquarry.runtime import checkpointed, join_small, released, ship
+from docquarry.runtime import join_small, released, removed, ship, stored
 
 #: Tasks over which the copies of one text are dealt at least.
 SALTS = 64
@@ -21,6 +21,10 @@ SALTS = 64
 GROUP_ROWS = 4096
 #: What a group costs besides its pairs, in pairs.
 GROUP_COST = 4000.0
+#: Signatures of a bucket, about: the number of buckets grows with the shingles.
+BUCKET_KEYS = 1 << 19
+#: Signatures that a task gathers before it deals them: at least so many, and so many a bucket.
+DEALT_KEYS, DEALT_EACH = 1 << 18, 64
 #: Likely pairs held before they are thinned to a forest, and equal sets that a task remembers to have signed.
 FOREST_PAIRS, SIGNED = 500_000, 200_000
 
@@ -36,43 +40,90 @@ def _summary(batches: Iterable[pa.RecordBatch], n: int, scheme: Scheme) -> Itera
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(one), pa.array(two), pa.array(parity, pa.binary())], ["id", "n", "h1", "h2", "sketch"])
 
 
-def _signatures(batches: Iterable[pa.RecordBatch], n: int, scheme: Scheme) -> Iterator[pa.RecordBatch]:
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers as planes of bytes: those that hardly change compress to nothing."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(raw: pa.Scalar, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw.as_buffer(), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _signatures(batches: Iterable[pa.RecordBatch], n: int, scheme: Scheme, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Per bucket a row of many signatures, of 56 bits, and of their documents' ids as differences."""
     seen: set[tuple[int, int]] = set()  # a task's equal sets sign once: others reach their class by its hashes
+    keys: list[np.ndarray] = []
+    ids: list[np.ndarray] = []
+
+    def dealt() -> pa.RecordBatch:
+        key, ident = np.concatenate(keys) >> np.uint64(8), np.concatenate(ids)
+        bucket = (key % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        cuts[-1] = len(order)
+        full = np.flatnonzero(np.diff(cuts))
+        key, ident = key[order], ident[order]
+        keys.clear(), ids.clear()
+        rows = [(_planes(key[cuts[k] : cuts[k + 1]]), _planes(np.diff(ident[cuts[k] : cuts[k + 1]], prepend=0))) for k in full]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))], ["bucket", "keys", "ids"])
+
+    held = 0
     for batch in batches:
         if len(seen) > SIGNED:
             seen.clear()
         for lo, hi, t in chunks(batch.column(1), lower=True):
-            keys, at = [], []
+            idents = batch.column(0).slice(lo, hi - lo).to_numpy()
             for i, s in enumerate(sets(t, n)):
                 if len(s) and (own := (len(s), int(mix(s).sum(dtype=np.uint64)))) not in seen:
                     seen.add(own)
                     keys.append(scheme.signatures(s))
-                    at.append(np.full(len(keys[-1]), lo + i))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(at)))], ["key", "id"])
+                    ids.append(np.full(len(keys[-1]), idents[i], np.int64))
+                    held += len(keys[-1])
+            if held >= max(DEALT_KEYS, DEALT_EACH * buckets):
+                yield dealt()
+                held = 0
+    if held:
+        yield dealt()
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and id: those of keys with several ids, each with its key's first id and place."""
-    last: tuple[int, int, int] | None = None  # key, leader and place of the row before
+    """Of a bucket's signatures, those that several documents have: a row per document but the first.
+
+    Of signatures with the same documents one stays. e and f tell the documents of those that more than two have.
+    """
+    keys, ids = [], []
     for b in batches:
-        key, ident = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(key):
-            continue
-        new = np.empty(len(key), bool)
-        new[0] = last is None or key[0] != last[0]
-        new[1:] = key[1:] != key[:-1]
-        starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        if new[0]:
-            lead, place = ident[starts][group], np.arange(len(key)) - starts[group]
-        else:
-            leads, firsts = np.concatenate([[last[1]], ident[starts]]), np.concatenate([[-last[2] - 1], starts])
-            lead, place = leads[group + 1], np.arange(len(key)) - firsts[group + 1]
-        keep = place > 0
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ident[keep]), pa.array(lead[keep]), pa.array(place[keep])], ["key", "id", "lead", "place"])
-        last = (key[-1], lead[-1], place[-1])
+        keys += [_unplaned(k, np.uint64) for k in b.column(1)]
+        ids += [np.cumsum(_unplaned(i, np.int64)) for i in b.column(2)]
+    if not keys:
+        return
+    key, ident = np.concatenate(keys), np.concatenate(ids)
+    del keys, ids
+    order = np.argsort(key)
+    key = key[order]
+    same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+    several = same[1:] | same[:-1]
+    key, ident = key[several].view(np.int64), ident[order[several]]
+    order = np.lexsort((ident, key))
+    key, ident = key[order], ident[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])  # rows that share an id are one document
+    key, ident = key[new], ident[new]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    if not len(first):
+        return
+    size = np.diff(np.append(first, len(key)))
+    e, f = (np.bitwise_xor.reduceat(mix(ident.view(np.uint64) ^ np.uint64(salt)), first) for salt in (0, 0xD6E8FEB86659FD93))
+    order = np.lexsort((f, e, size))
+    e, f, g = e[order], f[order], size[order]
+    once = np.concatenate([[True], (e[1:] != e[:-1]) | (f[1:] != f[:-1]) | (g[1:] != g[:-1])]) & (g > 1)
+    order, e, f, g = order[once], e[once].view(np.int64), f[once].view(np.int64), g[once]
+    for lo in range(0, len(order), 1 << 14):  # a signature's rows come as slices of its documents
+        some = slice(lo, lo + (1 << 14))
+        times, start = g[some] - 1, first[order[some]]
+        at = np.repeat(start + 1 - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        marks = (np.where(times > 1, x[some], 0) for x in (e, f))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at], ident[at], np.repeat(ident[start], times), np.repeat(times, times), *(np.repeat(m, times) for m in marks))], ["key", "id", "lead", "places", "e", "f"])
 
 
 def _groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -104,8 +155,8 @@ def _thinned(part: np.ndarray, held: list[tuple[np.ndarray, ...]]) -> tuple[np.n
     return i[chosen], j[chosen], slack[chosen]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, summary: DataFrame, n: int, scheme: Scheme) -> DataFrame:
-    """Those of the distinct pairs (u, v) that link: by sizes and sketches first, then by the whole sets."""
+def _verified(pairs: DataFrame, docs: DataFrame, summary: DataFrame, n: int, scheme: Scheme, held: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Those of the distinct pairs (u, v) that link: by sizes and sketches first, then by the whole sets. held: stores a table."""
     num, den = scheme.num, scheme.den
 
     def may(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +166,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, summary: DataFrame, n: int, sch
             yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
 
     side = lambda x: summary.select(F.col("id").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"))
-    likely = checkpointed(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(may, "u long, v long").distinct())
-    needed = checkpointed(likely.select(F.col("u").alias("id")).union(likely.select("v")).distinct())
+    likely = held(pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(may, "u long, v long").distinct())
+    needed = held(likely.select(F.col("u").alias("id")).union(likely.select("v")).distinct())
 
     def whole(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -131,7 +182,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, summary: DataFrame, n: int, sch
             yield b.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
 
     item = lambda x: texts.select(F.col("id").alias(x), F.col("items").alias(f"{x}i"))
-    return checkpointed(likely.join(item("u"), "u").join(item("v"), "v").mapInArrow(test, "u long, v long"))
+    return held(likely.join(item("u"), "u").join(item("v"), "v").mapInArrow(test, "u long, v long"))
 
 
 def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -146,74 +197,99 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
     3. Signatures with the same documents count as one, and those of a family that shares documents are one group where that makes
        fewer pairs. Where documents of a group are then still in different classes, its pairs across classes are compared
        inside the task by parity sketches, which bound the difference from below. Of those not ruled out, the likeliest that would
-       join the classes are tested exactly first; then all that are left across classes are.
+       join the classes are tested exactly first, where a group has more of them than rows; then all that are left across its classes are.
     Signatures, not documents, are dealt to tasks; no pairs within a class are ever made in step 3.
     """
     ship(docs.sparkSession)
-    scheme = Scheme(num, den)
+    spark, scheme = docs.sparkSession, Scheme(num, den)
+    paths: list[str] = []
+
+    def held(df: DataFrame) -> DataFrame:
+        out, path = stored(df)
+        paths.append(path)
+        return out
+
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id is not null")
-    summary = checkpointed(docs.mapInArrow(lambda it: _summary(it, n, scheme), "id long, n long, h1 long, h2 long, sketch binary"))
+    summary, _ = stored(docs.mapInArrow(lambda it: _summary(it, n, scheme), "id long, n long, h1 long, h2 long, sketch binary"))
     sizes = summary.where("n > 0 and id is not null")
     first = sizes.groupBy("h1", "h2", "n").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("q_same")).where("q_same > 1").drop("q_same")
     salted = first.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hot class's rows meet its first one in SALTS tasks
     copies = sizes.select(F.col("id").alias("u"), "h1", "h2", "n", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("q_salt")).join(salted, ["h1", "h2", "n", "q_salt"]).select("u", "v").where("u <> v")
 
-    signed = known.mapInArrow(lambda it: _signatures(it, n, scheme), "key long, id long")
-    shared = checkpointed(signed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long, lead long, place long"))
-    released(docs.sparkSession)  # the signatures' shuffle, the largest of all, is not needed beyond this
-    stars = shared.where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct()
-    edges = checkpointed(copies.unionByName(_verified(stars, known, sizes, n, scheme)))
-    released(docs.sparkSession)
-    found = checkpointed(components(edges))
+    shingles = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(spark.sparkContext.defaultParallelism, round(shingles / BUCKET_KEYS))
+    signed = known.mapInArrow(lambda it: _signatures(it, n, scheme, buckets), "bucket int, keys binary, ids binary")
+    shared, shared_path = stored(signed.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "key long, id long, lead long, places long, e long, f long"))
+    released(spark)  # the signatures' shuffle, the largest of all, is not needed beyond this
+    stars = held(shared.select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct())
+    edges = held(copies.unionByName(_verified(stars, known, sizes, n, scheme, held)))
+    released(spark)
+    found = components(edges)
 
     # keys with the same members say the same: of each set of members, one key is compared
-    marks = {"a": F.xxhash64("id"), "b": F.xxhash64("id", F.lit(1)), "c": F.xxhash64("lead"), "d": F.xxhash64("lead", F.lit(1))}
-    groups = shared.groupBy("key").agg(F.max("place").alias("places"), *[(F.bit_xor(h) if k in "ab" else F.first(h)).alias(k) for k, h in marks.items()]).where("places > 1")
-    several = groups.groupBy("places", F.col("a").bitwiseXOR(F.col("c")).alias("e"), F.col("b").bitwiseXOR(F.col("d")).alias("f")).agg(F.min("key").alias("key")).select("key")
-    members = checkpointed(shared.join(several, "key", "left_semi").select("key", "id", "lead", "place"))
+    several = shared.where("places > 1").groupBy("places", "e", "f").agg(F.min("key").alias("key")).select("key")
+    members = held(shared.where("places > 1").join(several, "key", "left_semi").select("key", "id", "lead", "places"))
+    removed(spark, shared_path)
+    released(spark)
     # where signatures that share documents have more pairs among them than their documents have, these are compared as one group
-    family = checkpointed(components(members.where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v"))))
+    family = components(members.select(F.col("id").alias("u"), F.col("lead").alias("v")))
     of_lead = family.select(F.col("id").alias("lead"), F.col("component").alias("family"))
-    keys = members.groupBy("key", "lead").agg((F.count(F.lit(1)) + 1).alias("g")).join(of_lead, "lead").select("key", "lead", "family", "g")
+    keys = members.select("key", "lead", (F.col("places") + 1).alias("g")).distinct().join(of_lead, "lead").select("key", "lead", "family", "g")
     work = keys.groupBy("family").agg(F.sum(F.col("g").cast("double") * F.col("g") + GROUP_COST).alias("work"))
     merged = family.groupBy(F.col("component").alias("family")).agg(F.count(F.lit(1)).alias("m")).join(work, "family").where(F.col("m").cast("double") * F.col("m") <= F.col("work")).select("family")
-    single = checkpointed(keys.join(merged, "family", "left_anti").select("key", "lead"))
+    single = held(keys.join(merged, "family", "left_anti").select("key", "lead"))
     alone = members.select("key", "id").join(single.select("key"), "key", "left_semi").unionByName(single.select("key", F.col("lead").alias("id")))
-    members = checkpointed(alone.unionByName(family.join(merged, F.col("component") == F.col("family"), "left_semi").select(F.col("component").alias("key"), "id")))
-    released(docs.sparkSession)
-    tried = checkpointed(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    members = held(alone.unionByName(family.join(merged, F.col("component") == F.col("family"), "left_semi").select(F.col("component").alias("key"), "id")))
+    released(spark)
+    tried = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
     def across(it: Iterable[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+        """Pairs of each group's rows: all, or, of a group with more of them than rows, a forest and its key, for the next round."""
+
         def rows(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j])), pa.nulls(len(i), pa.int64())], ["u", "v", "rest"])
 
         for g in _groups(it, 3):
             ids, part, size, half = (g.column(k).to_numpy() for k in ("id", "component", "n", "block"))
-            held: list[tuple[np.ndarray, ...]] = []
+            if (part == part[0]).all():
+                continue
+            likely: list[tuple[np.ndarray, ...]] = []
+            made = 0
             for found in near_pairs(size, g.column("sketch").to_pylist(), part, half, num, den):
                 if whole:
                     yield rows(ids, *found[:2])
                     continue
-                held.append(found)
-                if sum(len(h[0]) for h in held) > FOREST_PAIRS:  # a pair outside a part's forest is in no forest of the whole
-                    held = [_thinned(part, held)]
-            if held:
-                yield rows(ids, *_thinned(part, held)[:2])
+                likely.append(found)
+                made += len(found[0])
+                if sum(len(h[0]) for h in likely) > FOREST_PAIRS:  # a pair outside a part's forest is in no forest of the whole
+                    likely = [_thinned(part, likely)]
+            if made > len(ids):
+                yield rows(ids, *_thinned(part, likely)[:2])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([g.column("key")[0].as_py()])], ["u", "v", "rest"])
+            else:
+                for found in likely:
+                    yield rows(ids, *found[:2])
 
     for whole in (False, True):  # what most likely joins the classes first, so that few pairs are left to test
-        named = checkpointed(members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-        open_keys = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("blocks")).where("a <> b").select("key", "blocks")
-        rest = named.join(open_keys, "key").join(sizes.select("id", "n", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        named = held(members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+        big = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("blocks")).where("blocks > 1")
+        rest = join_small(named, held(big), "key", "left").where("a is null or a <> b").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rest = rest.join(sizes.select("id", "n", "sketch"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least(c, F.col("block")).alias("x"), F.greatest(c, F.col("block")).alias("y"))))
         rest = rest.withColumn("cell", cell).select("key", "cell.x", "cell.y", "block", "id", "component", "n", "sketch")
-        more = rest.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(partial(across, whole=whole), "u long, v long").distinct()
-        more = checkpointed(more.join(tried, ["u", "v"], "left_anti"))
-        released(docs.sparkSession)
-        late = _verified(more, known, sizes, n, scheme)
+        said = held(rest.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(partial(across, whole=whole), "u long, v long, rest long").distinct())
+        released(spark)
+        more = held(said.where("u is not null").select("u", "v").join(tried, ["u", "v"], "left_anti"))
+        late = _verified(more, known, sizes, n, scheme, held)
         if not late.isEmpty():
-            found = checkpointed(components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(late)))
-        tried = tried.unionByName(more)
+            found = components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(late))
+        left = said.where("rest is not null").select(F.col("rest").alias("key")).distinct()
+        if whole or left.isEmpty():
+            break
+        tried, members = tried.unionByName(more), held(join_small(members, held(left), "key", "left_semi"))
+    for path in paths:
+        removed(spark, path)
     return summary.select("id", "n").join(found, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
