@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.bytewords import chunks, mix
 from docquarry.llm.components import components
 from docquarry.llm.partenum import Scheme, folded, forest, linked, most_apart, near_pairs, sets, sketch
-from docquarry.runtime import join_small, released, removed, ship, stored
+from docquarry.runtime import join_small, released, removed, ship, stored, tidied
 
 #: Tasks over which the copies of one text are dealt at least.
 SALTS = 64
@@ -211,7 +211,7 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
 
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id is not null")
-    summary, _ = stored(docs.mapInArrow(lambda it: _summary(it, n, scheme), "id long, n long, h1 long, h2 long, sketch binary"))
+    summary, _ = stored(docs.mapInArrow(lambda it: tidied(_summary(it, n, scheme)), "id long, n long, h1 long, h2 long, sketch binary"))
     sizes = summary.where("n > 0 and id is not null")
     first = sizes.groupBy("h1", "h2", "n").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("q_same")).where("q_same > 1").drop("q_same")
     salted = first.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hot class's rows meet its first one in SALTS tasks
@@ -219,8 +219,8 @@ def link_classes(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) ->
 
     shingles = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(spark.sparkContext.defaultParallelism, round(shingles / BUCKET_KEYS))
-    signed = known.mapInArrow(lambda it: _signatures(it, n, scheme, buckets), "bucket int, keys binary, ids binary")
-    shared, shared_path = stored(signed.repartitionById(buckets, F.col("bucket")).mapInArrow(_shared, "key long, id long, lead long, places long, e long, f long"))
+    signed = known.mapInArrow(lambda it: tidied(_signatures(it, n, scheme, buckets)), "bucket int, keys binary, ids binary")
+    shared, shared_path = stored(signed.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda it: tidied(_shared(it)), "key long, id long, lead long, places long, e long, f long"))
     released(spark)  # the signatures' shuffle, the largest of all, is not needed beyond this
     stars = held(shared.select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct())
     edges = held(copies.unionByName(_verified(stars, known, sizes, n, scheme, held)))

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docquarry.operators.ranking import positions
-from docquarry.llm.tokens import Remembered, as_letters, kept_for, tokenizer
-from docquarry.runtime import checkpointed, ship
+from docquarry.llm.tokens import CACHE_ENTRIES, Remembered, as_letters, kept_for, tokenizer
+from docquarry.runtime import checkpointed, ship, tidied
 
 WINDOW = 2048
 END_ID = 1
@@ -21,6 +21,8 @@ TOKENIZER = "word_bpe_49k.json"
 SPACES = " \t\n\x0b\x0c\r"
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
+#: Words and parts of words that a worker remembers, in each of two generations: some 250 bytes each.
+WORDS_KEPT, PARTS_KEPT = 150_000, 50_000
 
 
 #: Words of these characters are normalised, split and looked up alike by Python and the tokenizer; others are left to it, as are its special strings.
@@ -28,7 +30,7 @@ PLAIN = re.compile("[!-~¡-ÿ]+")
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def word_encoder(name: str, user: str = "packing") -> Callable[[str], bytes]:
+def word_encoder(name: str, user: str = "packing", parts_kept: int = CACHE_ENTRIES) -> Callable[[str], bytes]:
     """Little-endian 32-bit ids of a white-space separated word.
 
     The tokenizer drops white space, its patterns never match across it and its special strings hold none, so a
@@ -38,7 +40,7 @@ def word_encoder(name: str, user: str = "packing") -> Callable[[str], bytes]:
 
     whole = tokenizer(name)
     merges, parts = whole.model, regex.compile(PARTS).findall
-    pieces = kept_for(user, f"parts:{name}", lambda: Remembered(lambda part: array("I", [t.id for t in merges.tokenize(as_letters(part))]).tobytes()))
+    pieces = kept_for(user, f"parts:{name}", lambda: Remembered(lambda part: array("I", [t.id for t in merges.tokenize(as_letters(part))]).tobytes(), parts_kept))
 
     def encode(word: str) -> bytes:
         if PLAIN.fullmatch(word) and "<|" not in word:
@@ -51,7 +53,7 @@ def word_encoder(name: str, user: str = "packing") -> Callable[[str], bytes]:
 
 def word_ids(name: str, user: str = "packing") -> Remembered:
     """word_encoder() with the words remembered."""
-    return kept_for(user, f"word ids:{name}", lambda: Remembered(word_encoder(name, user)))
+    return kept_for(user, f"word ids:{name}", lambda: Remembered(word_encoder(name, user, PARTS_KEPT), WORDS_KEPT))
 
 
 def cut(batches: Iterable[pa.RecordBatch], name: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -143,7 +145,7 @@ def pack(docs: DataFrame, name: str = TOKENIZER, window: int = WINDOW, end_id: i
     each piece its place. Null ids and repeated rows are packed as they come; an empty table gives no rows.
     """
     ship(docs.sparkSession)
-    pieces = checkpointed(docs.select("doc_id", "text").mapInArrow(lambda it: cut(it, name, window, end_id), PIECES))  # range partitioning reads its input twice
+    pieces = checkpointed(docs.select("doc_id", "text").mapInArrow(lambda it: tidied(cut(it, name, window, end_id)), PIECES))  # range partitioning reads its input twice
     ranked = positions(pieces, ["doc_id", "start", "ids_crc32"], ["length"])
     counts = {r[0]: r[1] for r in ranked.groupBy("length").count().collect()}
     table = slots(plan(counts, window))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.runtime import checkpointed, ship
+from docquarry.runtime import checkpointed, ship, tidied
 
 #: Labelled rows to learn from: those with the smallest hashes of doc_id.
 LABELLED_ROWS = 10_000
@@ -240,4 +240,4 @@ def keep_civil(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         for b in it:
             yield b.filter(pa.array([scorer.score(t) < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda it: tidied(run(it)), docs.schema)

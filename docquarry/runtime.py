@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +81,17 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tidied(rows: Iterator) -> Iterator:
+    """rows of a Python task; what it freed goes back to the system after them. The allocators of a worker keep it otherwise, through the stages that follow."""
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores, where it has fewer: a small file in one piece would keep one core busy."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,11 +1,15 @@
+import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from docquarry.llm import packing, tokencount
+from docquarry.llm import packing, tokencount, tokens
+from docquarry.runtime import tidied
 
 
 ODD_TEXTS = ["日本語のテキスト。 日本", "Привет  мир\n\n x", "a<|endoftext|>b <|endoftext|>", "<|endoftext|><|endoftext|>", "<|x|> <| it's", "e\u0301 ﬁ ½ ٣ 😀😀 \u200b\u00a0x", "\x1c\x85\u2028 z", "dog's DOG'S 'll 12345"]
@@ -72,3 +76,33 @@ def test_subset_sums():
             sums = {s + i * k for s in sums for i in range(n + 1) if s + i * k <= room}
         taken = packing.fullest(counts, room)
         assert sum(k * v for k, v in taken.items()) == max(sums) and all(v <= counts[k] for k, v in taken.items())
+
+
+def test_a_packing_worker_remembers_few_words():
+    """However many distinct words pass a worker, it holds at most two generations of words and of parts, and cuts alike."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join("".join(map(chr, w)) for w in rng.integers(97, 123, (500, 7))) for _ in range(900)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], ["doc_id", "text"]) for i, t in enumerate(texts)]
+    got = [tuple(r.values()) for b in packing.cut(batches, packing.TOKENIZER, packing.WINDOW, packing.END_ID) for r in b.to_pylist()]
+    assert [r[1:] for r in got if r[0] >= 898] == [p for t in texts[898:] for p in pieces_of(t)]
+    held = {k: len(v) + len(v.old) for k, v in tokens.kept("caches", dict).items() if isinstance(v, tokens.Remembered)}
+    assert len(held) == 2 and sum(held.values()) < 2 * (packing.WORDS_KEPT + packing.PARTS_KEPT) + 2000 <= 402_000
+
+
+def test_freed_memory_leaves_the_worker():
+    """What a task freed below a block that stays is no longer the worker's once the task is over."""
+    anonymous = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+    pins = []
+
+    def task():
+        blocks = [np.ones(100_000, np.uint8) for _ in range(1500)]
+        pins.append(np.ones(100_000, np.uint8))
+        yield len(blocks)
+
+    def untidied():
+        yield from task()
+
+    assert list(untidied()) == [1500]
+    before = anonymous()
+    assert list(tidied(task())) == [1500]
+    assert before - anonymous() > 70
