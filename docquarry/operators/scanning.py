@@ -80,7 +80,7 @@ def section_scan(blocks: DataFrame, doc: str = "doc_id", pos: str = "pos") -> Da
 
 
 def range_text(ranges: DataFrame, blocks: DataFrame, key: str, doc: str = "doc_id", pos: str = "pos", start: str = "start_block", end: str = "end_block", most: int = 6000) -> DataFrame:
-    """key, content: the texts of the blocks from start (from 1) to end, joined by line feeds until their lengths reach `most`, stripped and cut there.
+    """key, content: the texts of the blocks from start (from 1) to end, each stripped, joined by line feeds until their lengths reach `most`, and cut there.
 
     A range whose ends are null, or that holds no text, gives an empty content. Blocks and ranges meet by stretches of `most` characters of a
     document, of which a range needs its first and the next, so that a document's ranges are never compared with all its blocks.
@@ -94,7 +94,7 @@ def range_text(ranges: DataFrame, blocks: DataFrame, key: str, doc: str = "doc_i
     parts = told.where("q_text <> ''").withColumn("q_cell", F.floor(F.col("q_before") / most))
     held = near.join(parts, (F.col("q_of") == F.col("q_doc")) & (F.col("q_part") == F.col("q_cell"))).where((F.col("q_pos") >= F.col("q_from")) & (F.col("q_pos") < F.col("q_to")) & (F.col("q_before") - F.col("q_base") < most))
     listed = held.groupBy("q_key").agg(F.array_sort(F.collect_list(F.struct("q_pos", "q_text"))).alias("q_x"))
-    joined = F.left(stripped(F.array_join(F.transform("q_x", lambda x: x["q_text"]), "\n")), F.lit(most))
+    joined = F.left(F.array_join(F.transform("q_x", lambda x: x["q_text"]), "\n"), F.lit(most))
     out = ranges.select(key).join(listed.select("q_key", joined.alias("content")), F.col(key) == F.col("q_key"), "left")
     return out.select(key, F.coalesce("content", F.lit("")).alias("content"))
 

@@ -98,6 +98,12 @@ def test_texts_of_ranges(spark, most):
     assert got == {i: cut(docs.get(d, []), a, b, most) for i, d, a, b in ranges}
 
 
+def test_cut_texts_keep_what_the_cut_ends_with(spark):
+    blocks = spark.createDataFrame([(1, 0, " abc  def "), (1, 1, "\u00a0x\u3000"), (1, 2, "y" + " " * 9 + "z")], "doc_id int, pos int, text string")
+    ranges = spark.createDataFrame([(i, 1, a, b) for i, a, b in [(1, 1, 1), (2, 2, 3), (3, 2, 2)]], "id int, doc_id int, start_block int, end_block int")
+    assert sorted(map(tuple, S.range_text(ranges, blocks, "id", most=5).collect())) == [(1, "abc  "), (2, "x\ny  "), (3, "x")]
+
+
 def test_assembled_texts(spark):
     tree = [("r", None, 1, "R", "own"), ("b", "r", 2, "B", None), ("a", "r", 1, "A", "a text"), ("aa", "a", 1, "AA", "aa text"), ("ab", "a", 2, "", "untitled"), ("deep", "aa", 1, "D", "never in r"), ("x", "gone", 1, "X", ""), ("a2", "r", 1, None, None)]
     got = dict(map(tuple, S.assembled(spark.createDataFrame(tree, "id string, parent string, ord int, title string, content string"), "id", "parent", "ord").collect()))
