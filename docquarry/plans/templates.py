@@ -6,13 +6,14 @@ all lines up to the next heading its blocks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 from docquarry.operators import locate, similar
 from docquarry.operators import sections as S
 from docquarry.plans.query import Catalog, table
+from docquarry.runtime import released
 from docquarry.sources.readers import lines
 
 Q = Catalog()
@@ -22,9 +23,18 @@ _LINES = """
 l AS (SELECT doc_id, i - 1 AS pos, s[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"""
 
 
+def _is_heading(line: Column) -> Column:
+    return F.length(F.trim(line)).between(1, _HEADING)
+
+
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pos, line, heading, start (of the section that the line is in; null before the first heading)."""
-    rows = lines(table(spark, sf_dir, "documents")).withColumn("pos", F.col("pos").cast("long")).withColumn("heading", F.length(F.trim("line")).between(1, _HEADING))
+    return with_starts(lines(table(spark, sf_dir, "documents")))
+
+
+def with_starts(rows: DataFrame) -> DataFrame:
+    """numbered_lines() of lines, of which those that are no headings may be left out."""
+    rows = rows.withColumn("pos", F.col("pos").cast("long")).withColumn("heading", _is_heading(F.col("line")))
     upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("start", F.max(F.when(F.col("heading"), F.col("pos"))).over(upto))
 
@@ -37,6 +47,15 @@ def line_sections(rows: DataFrame) -> DataFrame:
     return made.select("doc_id", F.concat(F.lit("s"), F.col("start").cast("string")).alias("sec_id"), F.col("start").alias("ord"), "title", content.alias("content"), F.when(F.col("start") % 7 != 6, F.col("start")).alias("start"))
 
 
+def asked_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The sections of documents' lines, kept for resolve(), and the lines as blocks, of documents with a heading only: the others have no section."""
+    docs = table(spark, sf_dir, "documents").where(F.exists(F.split("text", "\n"), _is_heading))
+    needed = with_starts(lines(docs).where(_is_heading(F.col("line")) | (F.length("line") >= _CONTENT)))
+    sections = locate.kept(line_sections(needed))
+    released(spark)  # the lines that were shuffled for the sections
+    return sections, lines(docs).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("line").alias("text"))
+
+
 def asked_sections(sections: DataFrame) -> DataFrame:
     """References to sections as a reader would give them: by id, by title, by a part of it, with words around it, or by a title that isn't there."""
     kind = (F.col("doc_id") + F.col("ord")) % 5
@@ -70,20 +89,20 @@ SELECT doc_id, ref, sec_id, title, CASE source WHEN 'range' THEN blocks WHEN 'ti
 )
 def section_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References to sections of documents, resolved by id, title and part of a title; titles with `the` stand for themselves where all else is empty."""
-    rows = numbered_lines(spark, sf_dir)
-    sections = line_sections(rows)
-    return locate.resolve(asked_sections(sections), sections, rows.select("doc_id", "pos", F.col("line").alias("text")), F.col("title").contains("the"))
+    sections, blocks = asked_documents(spark, sf_dir)
+    return locate.resolve(asked_sections(sections), sections, blocks, F.col("title").contains("the"))
 
 
 def template_spans(rows: DataFrame) -> DataFrame:
     """doc_id, title, start, end, chars, piped of each heading of numbered_lines(): its lines up to the next heading of its level or above.
 
     The level of a heading is 1 to 3, by its length. chars and piped (lines with a bar) leave the heading itself out; both are
-    differences of running sums, so that no line is copied for each span that it lies in.
+    differences of running sums, so that no line is copied for each span that it lies in; only headings travel as text.
     """
     level = F.when(F.col("heading"), F.when(F.length("line") <= 20, 1).when(F.length("line") <= 40, 2).otherwise(3)).otherwise(0)
+    rows = rows.select("doc_id", "pos", level.alias("level"), F.when(F.col("heading"), F.col("line")).alias("line"), F.length(F.trim("line")).alias("q_chars"), F.col("line").contains("|").cast("long").alias("q_piped"))
     upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("level", level).withColumn("q_chars", F.sum(F.length(F.trim("line"))).over(upto)).withColumn("q_piped", F.sum(F.col("line").contains("|").cast("long")).over(upto))
+    rows = rows.withColumn("q_chars", F.sum("q_chars").over(upto)).withColumn("q_piped", F.sum("q_piped").over(upto))
     spans = S.ends(rows.select("doc_id", "pos", "level", "line", "q_chars", "q_piped")).where("level > 0")
     last = rows.select("doc_id", (F.col("pos") + 1).alias("end_pos"), F.col("q_chars").alias("q_c"), F.col("q_piped").alias("q_p"))
     out = spans.join(last, ["doc_id", "end_pos"])

@@ -49,3 +49,20 @@ def test_titles_meet_without_loss(spark):
     got = locate.held_pairs(df.withColumnRenamed("key", "s"), df.selectExpr("doc_id", "i AS j", "key AS t"), "doc_id", "s", "t")
     assert sorted((r.i, r.j) for r in got.collect()) == sorted((i, j) for i, s in enumerate(words) for j, t in enumerate(words) if s and s in t)
     assert locate.resolve(df.selectExpr("doc_id", "i AS ref", "key AS section_id", "key AS section_title").limit(0), spark.createDataFrame(SECTIONS, "doc_id long, sec_id string, ord long, title string, content string, start long"), spark.createDataFrame(BLOCKS, "doc_id long, pos long, text string")).count() == 0
+
+
+def test_contents_stay_out_of_the_cascade(spark):
+    """Contents and blocks cross few shuffles, however many branches look at a section's title."""
+    sections = spark.createDataFrame([(d, str(i), i, f"Title {i % 3}", "c" * 5000 if i % 2 else "", i * 2) for d in range(20) for i in range(10)], "doc_id long, sec_id string, ord long, title string, content string, start long")
+    blocks = spark.createDataFrame([(d, p, "b" * 5000) for d in range(20) for p in range(20)], "doc_id long, pos long, text string")
+    located = sections.select("doc_id", F.col("ord").alias("ref"), F.lit("?").alias("section_id"), F.concat("title", F.when(F.col("ord") % 2 == 0, " more").otherwise("")).alias("section_title"))
+    plan = locate.resolve(located, sections, blocks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 12, plan.count("Exchange")  # 75 where every branch carried its texts
+
+
+def test_repeated_sections_give_one_row_each(spark):
+    sections = spark.createDataFrame([(1, "a", 1, "Scope", "text", 0)] * 3 + [(1, "b", 1, "Other", "", 3)] * 2, "doc_id long, sec_id string, ord long, title string, content string, start long")
+    blocks = spark.createDataFrame([(1, 4, "x"), (1, 5, "y")], "doc_id long, pos long, text string")
+    located = spark.createDataFrame([(1, 1, "a", None), (1, 2, "?", "Scope"), (1, 3, None, "Oth")], "doc_id long, ref long, section_id string, section_title string")
+    got = sorted((r.ref, r.sec_id, r.content, r.source) for r in locate.resolve(located, sections, blocks).collect())
+    assert got == [(1, "a", "text", "own"), (2, "a", "text", "own"), (3, "b", "x\ny", "range")]
