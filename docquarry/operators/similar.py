@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.runtime import ship
+from docquarry.runtime import materialised, ship
 
 #: Shares of the score, what words inside other words count for, and the shortest such word.
 SHARES = {"blocks": 0.45, "pairs": 0.35, "words": 0.20}
@@ -42,6 +42,13 @@ def pairs_of(text: Column) -> Column:
     return F.when(F.length(text) <= 2, F.array(text)).otherwise(T.parts_of(text, 2))
 
 
+def norm(parts: Column) -> Column:
+    """The length of the vector of how often each part occurs: a part's k-th occurrence adds 2k - 1 to its square, which sum to the squared count."""
+    step = lambda z, x: F.struct(x.alias("x"), F.when(x == z["x"], z["k"] + 1).otherwise(F.lit(1)).alias("k"), (z["s"] + 2 * F.when(x == z["x"], z["k"] + 1).otherwise(F.lit(1)) - 1).cast("long").alias("s"))
+    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("s"))
+    return F.sqrt(F.aggregate(F.sort_array(parts), start, step, lambda z: z["s"]))
+
+
 def matched_udf(spark):
     """Share of two texts' characters in matching blocks, on Arrow batches: no built-in has it."""
     ship(spark)
@@ -57,23 +64,25 @@ def matched_udf(spark):
 def candidates(left: DataFrame, right: DataFrame, by: str, least: float) -> DataFrame:
     """by, a, b (titles), a_bare, b_bare, pairs, words: all pairs of titles with equal `by` that can reach `least`, each pair of different titles once.
 
-    Such titles share a pair of characters. The bound takes for the matching blocks what two lengths allow at most.
+    Such titles share a pair of characters. The bound takes for the matching blocks what two lengths allow at most. Each side's titles are stored
+    with a number, their words and norms, made once a title; what meets by pairs of characters are numbers only.
     """
     if least < LEAST:
         raise ValueError(f"titles without a common pair of characters could reach {least}; {LEAST} is the least")
 
     def listed(rows: DataFrame, name: str) -> DataFrame:
         rows = rows.select(by, F.col("title").alias(name)).where("length(trim(title)) > 0").distinct().withColumn(f"{name}_bare", bare(F.col(name))).where(f"{name}_bare <> ''")
-        counted = rows.select(by, name, f"{name}_bare", F.explode(pairs_of(F.col(f"{name}_bare"))).alias("part")).groupBy(by, name, f"{name}_bare", "part").agg(F.count(F.lit(1)).alias(f"{name}_n"))
-        return counted
+        told = rows.withColumns({f"{name}_norm": norm(pairs_of(F.col(f"{name}_bare"))), f"{name}_words": title_words(F.col(name)), f"{name}_id": F.monotonically_increasing_id()})
+        return materialised(told)
 
-    def norms(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(by, name).agg(F.sqrt(F.sum(F.col(f"{name}_n") * F.col(f"{name}_n"))).alias(f"{name}_norm"))
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        parts = rows.select(by, f"{name}_id", F.explode(pairs_of(F.col(f"{name}_bare"))).alias("part"))
+        return parts.repartition(by, "part").groupBy(by, f"{name}_id", "part").agg(F.count(F.lit(1)).alias(f"{name}_n"))  # dealt as the join wants them
 
     a, b = listed(left, "a"), listed(right, "b")
-    met = a.join(b, [by, "part"]).groupBy(by, "a", "b", "a_bare", "b_bare").agg(F.sum(F.col("a_n") * F.col("b_n")).alias("dot"))
-    met = met.join(norms(a, "a"), [by, "a"]).join(norms(b, "b"), [by, "b"]).withColumn("pairs", F.col("dot") / F.col("a_norm") / F.col("b_norm"))
-    met = met.withColumn("words", word_score(title_words(F.col("a")), title_words(F.col("b"))))
+    met = counted(a, "a").join(counted(b, "b"), [by, "part"]).groupBy("a_id", "b_id").agg(F.sum(F.col("a_n") * F.col("b_n")).alias("dot"))
+    met = met.join(a, "a_id").join(b.drop(by), "b_id").withColumn("pairs", F.col("dot") / F.col("a_norm") / F.col("b_norm"))
+    met = met.withColumn("words", word_score(F.col("a_words"), F.col("b_words")))
     la, lb = F.length("a_bare"), F.length("b_bare")
     bound = SHARES["blocks"] * 2 * F.least(la, lb) / (la + lb) + SHARES["pairs"] * F.col("pairs") + SHARES["words"] * F.col("words")
     return met.where(F.greatest(bound, F.col("words")) >= least - 1e-9).select(by, "a", "b", "a_bare", "b_bare", "pairs", "words")

@@ -13,7 +13,7 @@ from docquarry.functions import text as T
 from docquarry.operators import locate, similar
 from docquarry.operators import sections as S
 from docquarry.plans.query import Catalog, table
-from docquarry.runtime import released
+from docquarry.runtime import materialised, released
 from docquarry.sources.readers import lines
 
 Q = Catalog()
@@ -47,9 +47,14 @@ def line_sections(rows: DataFrame) -> DataFrame:
     return made.select("doc_id", F.concat(F.lit("s"), F.col("start").cast("string")).alias("sec_id"), F.col("start").alias("ord"), "title", content.alias("content"), F.when(F.col("start") % 7 != 6, F.col("start")).alias("start"))
 
 
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a heading."""
+    return table(spark, sf_dir, "documents").where(F.exists(F.split("text", "\n"), _is_heading))
+
+
 def asked_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The sections of documents' lines, kept for resolve(), and the lines as blocks, of documents with a heading only: the others have no section."""
-    docs = table(spark, sf_dir, "documents").where(F.exists(F.split("text", "\n"), _is_heading))
+    """The sections of documents' lines, kept for resolve(), and the lines as blocks, of headed() documents only: the others have no section."""
+    docs = headed(spark, sf_dir)
     needed = with_starts(lines(docs).where(_is_heading(F.col("line")) | (F.length("line") >= _CONTENT)))
     sections = locate.kept(line_sections(needed))
     released(spark)  # the lines that were shuffled for the sections
@@ -124,14 +129,20 @@ _SUBSTANCE = 60
 
 @Q.plan("m6_template_evidence")
 def template_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence for asked sections: what resolves by id or exact title if it is substantive, else the span of the most similar heading if that is."""
-    rows = numbered_lines(spark, sf_dir)
-    sections = line_sections(rows)
+    """Evidence for asked sections: what resolves by id or exact title if it is substantive, else the span of the most similar heading if that is.
+
+    What each part found is stored, a row an asked section or heading, so that the parts are planned and shuffled one after the other.
+    """
+    sections, blocks = asked_documents(spark, sf_dir)
     asked = asked_sections(sections)
-    found = locate.resolve(asked, sections, rows.select("doc_id", "pos", F.col("line").alias("text"))).where("found <> 'part'")
+    found = locate.resolve(asked, sections, blocks).where("found <> 'part'")
     located = found.where(F.col("content").contains("|") | (F.length("content") >= _SUBSTANCE)).select("doc_id", "ref", F.lit("located").alias("how"), F.regexp_extract("sec_id", "[0-9]+", 0).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("double").alias("score"))
-    rest = asked.join(located, ["doc_id", "ref"], "left_anti").select("doc_id", "ref", F.col("section_title").alias("title"))
-    spans = best_spans(rest, template_spans(rows)).where((F.col("piped") > 0) | (F.col("chars") >= _SUBSTANCE))
+    located = materialised(located)
+    released(spark)
+    rest = materialised(asked.join(located, ["doc_id", "ref"], "left_anti").select("doc_id", "ref", F.col("section_title").alias("title")))
+    headings = materialised(template_spans(with_starts(lines(headed(spark, sf_dir)))))
+    released(spark)
+    spans = best_spans(rest, headings).where((F.col("piped") > 0) | (F.col("chars") >= _SUBSTANCE))
     return located.unionByName(spans.select("doc_id", "ref", F.lit("similar").alias("how"), "start", "end", "score"))
 
 

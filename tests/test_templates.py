@@ -91,6 +91,11 @@ def test_query_against_rules(spark):
     assert located == {(r.doc_id, r.ref) for r in found.collect()}
 
 
+def test_evidence_is_planned_in_parts(spark):
+    plan = catalog.QUERIES["m6_template_evidence"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 40, plan.count("Exchange")  # 382 where all was one plan, which took the driver's memory
+
+
 def test_excerpt_edges(spark):
     long = "x" * 700 + " thing the"
     texts = {1: long, 2: "\n".join(["no word"] * 3), 3: "\n".join(["the end of it all, with some words"] * 30), 4: "the first line of all\nHead\nthing after the boundary here", 5: "", 6: "the\n" + "y" * 598 + "\nthing"}
