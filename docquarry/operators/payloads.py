@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.runtime import checkpointed
+from docquarry.runtime import checkpointed, released
 
 #: Fields of an item object that may bear its value, the first one that does wins.
 VALUE_FIELDS = ("value", "name", "text")
+#: Levels that are opened in one plan; deeper payloads are stored after so many.
+STRETCH = 12
 #: Words that stand for yes and no.
 YES, NO = ("true", "yes", "y", "1", "是"), ("false", "no", "n", "0", "否")
 
 
 def kind(value: Column) -> Column:
     """object, array, null, or scalar."""
-    schema = F.schema_of_variant(value)
+    return kind_of(F.schema_of_variant(value))
+
+
+def kind_of(schema: Column) -> Column:
     return F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "VOID", "null").otherwise("scalar")
 
 
@@ -27,25 +30,36 @@ def opened(rows: DataFrame, value: str) -> DataFrame:
     return rows.lateralJoin(parts).drop(value)
 
 
+def depth(value: Column) -> Column:
+    """How many containers stand inside each other at most, by the brackets of its JSON text outside of strings; 0 for scalars and null."""
+    bare = F.regexp_replace(F.regexp_replace(F.to_json(value), r"\\.", ""), '"[^"]*"', "")
+    marks = F.split(F.translate(F.regexp_replace(bare, r"[^\[\]{}]", ""), "{}", "[]"), "")
+    step = lambda z, x: F.when(x == "[", F.struct((z["now"] + 1).alias("now"), F.greatest(z["most"], z["now"] + 1).alias("most"))).when(x == "]", F.struct((z["now"] - 1).alias("now"), z["most"].alias("most"))).otherwise(z)
+    return F.coalesce(F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda z: z["most"]), F.lit(0))
+
+
 def walk(rows: DataFrame, value: str, containers: tuple[str, ...] = ("object", "array"), follow: Column | None = None) -> DataFrame:
     """rows once for every node below and including value that isn't opened: path ($.a[0].b), places (a list that sorts them in order), kind, value.
 
     Containers of the given kinds are opened, level by level, until none is left, so the depth may be any; follow (over path and kind)
-    holds back containers that it is false for. Empty containers vanish; null values (not JSON nulls) give no rows.
+    holds back containers that it is false for. Empty containers vanish; null values (not JSON nulls) give no rows. The levels are as many as
+    the deepest value has, which a first pass tells; all are one chain of rows that are told once and not stored, but after each STRETCH of them.
     """
     own = [c for c in rows.columns if c != value]
+    more = F.col("kind").isin(*containers) & (follow if follow is not None else F.lit(True))
+    levels = rows.agg(F.max(depth(F.col(value)))).first()[0] or 0
+    released(rows.sparkSession)  # what the first pass shuffled
     front = rows.where(F.col(value).isNotNull()).select(*own, F.lit("$").alias("path"), F.array().cast("array<int>").alias("places"), F.col(value).alias("value")).withColumn("kind", kind(F.col("value")))
-    done = []
-    while True:
-        front = checkpointed(front)
-        more = F.col("kind").isin(*containers) & (follow if follow is not None else F.lit(True))
-        done.append(front.where(~more))
-        front = front.where(more)
-        if front.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+    for level in range(levels):
+        if level and level % STRETCH == 0:
+            front = checkpointed(front)
+        front = front.withColumn("q_more", more).withColumn("q_open", F.when(F.col("q_more"), F.col("value")))
+        inner = front.lateralJoin(front.sparkSession.tvf.variant_explode_outer(F.col("q_open").outer()).toDF("q_pos", "q_key", "q_value")).where("q_pos IS NOT NULL OR NOT coalesce(q_more, false)")
         step = F.when(F.col("kind") == "object", F.concat(F.lit("."), "q_key")).otherwise(F.concat(F.lit("["), F.col("q_pos").cast("string"), F.lit("]")))
-        inner = opened(front, "value")
-        front = inner.select(*own, F.concat("path", step).alias("path"), F.concat("places", F.array("q_pos")).alias("places"), F.col("q_value").alias("value")).withColumn("kind", kind(F.col("value")))
+        now = lambda new, old: F.when(F.col("q_more"), new).otherwise(F.col(old)).alias(old)
+        inner = inner.withColumn("q_schema", F.when(F.col("q_more"), F.schema_of_variant("q_value")))  # once, not for each kind
+        front = inner.select(*own, now(F.concat("path", step), "path"), now(F.concat("places", F.array("q_pos")), "places"), now(F.col("q_value"), "value"), now(kind_of(F.col("q_schema")), "kind"))
+    return front.withColumn("kind", F.when(more, F.raise_error(F.lit("a container is deeper than the first pass told"))).otherwise(F.col("kind")))
 
 
 def scalar(value: Column, path: str = "$") -> Column:

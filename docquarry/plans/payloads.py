@@ -33,11 +33,12 @@ FROM (SELECT l_orderkey AS o, {_LIST} AS name, string_agg(item, ', ' ORDER BY l_
 
 
 def made(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """o_orderkey, payload."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.expr(_LIST).alias("name"), "l_linenumber", F.expr(_ITEM).alias("item"))
+    """o_orderkey, payload. Lines are shuffled once, as numbers; their items are written where an order's lines are together."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), "l_linenumber", "l_partkey", "l_suppkey").repartition("o")
+    rows = lines.select("o", F.expr(_LIST).alias("name"), "l_linenumber", F.expr(_ITEM).alias("item"))
     lists = rows.groupBy("o", "name").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "item"))).alias("x"))
-    joined = F.array_join(F.transform("x", lambda x: x["item"]), ", ")
-    field = F.concat(F.lit('"'), "name", F.lit('": '), F.when((F.size("x") == 1) & (F.col("o") % 2 == 0), joined).otherwise(F.concat(F.lit("["), joined, F.lit("]"))))
+    lists = lists.select("o", "name", F.size("x").alias("n"), F.array_join(F.transform("x", lambda x: x["item"]), ", ").alias("items"))
+    field = F.concat(F.lit('"'), "name", F.lit('": '), F.when((F.col("n") == 1) & (F.col("o") % 2 == 0), F.col("items")).otherwise(F.concat(F.lit("["), "items", F.lit("]"))))
     whole = lists.select("o", field.alias("f")).groupBy("o").agg(F.array_join(F.collect_list("f"), ", ").alias("f"))
     text = F.concat(F.lit("{"), "f", F.lit(', "other": {"deep": [{"x": '), F.col("o").cast("string"), F.lit("}]}}"))
     return whole.select(F.col("o").alias("o_orderkey"), F.when(F.col("o") % 9 == 4, "no JSON {").otherwise(text).alias("payload"))

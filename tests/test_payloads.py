@@ -35,6 +35,16 @@ def test_walk_reaches_every_depth(spark):
     assert sorted(map(tuple, held)) == [("$.a", "array"), ("$.c", "scalar")]
 
 
+def test_walk_stores_nothing_and_counts_brackets_outside_strings(spark, tmp_path):
+    texts = ['{"a]}[{": "\\"[[\\\\", "b": [[{"c": "}"}]]}', "[[]]", "3", '"[[["', None, '{"x": [], "y": {}}', '["\\\\", [1]]']
+    rows = parsed(spark, *texts)
+    assert [r[0] for r in rows.orderBy("i").select(payloads.depth(F.col("v"))).collect()] == [4, 2, 0, 0, 0, 2, 2]
+    got = payloads.walk(rows, "v")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 4 and "checkpoint" not in plan and "Exchange" not in plan, plan  # a checkpoint a level before
+    assert sorted((r.i, r.path) for r in got.collect()) == sorted((i, p) for i, t in enumerate(texts) if t for p in leaves(json.loads(t)))
+
+
 @pytest.mark.parametrize(
     ("files", "want"),
     [
