@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.operators import folds
+from docquarry.operators import folds, profiles
 from docquarry.plans.query import Catalog, table
 from docquarry.runtime import ship
 from docquarry.sources.readers import lines
@@ -76,12 +76,10 @@ def line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.plan("j5_bigram_cosine", 'WITH g AS (SELECT s_suppkey, s_nationkey, substr(k, i, 2) AS g, count(*) AS c FROM (SELECT s_suppkey, s_nationkey, lower(s_name) AS k, unnest(range(1, length(s_name))) AS i FROM supplier) GROUP BY ALL), n AS (SELECT s_suppkey, sqrt(sum(c * c)) AS norm FROM g GROUP BY 1) SELECT a.s_suppkey, b.s_suppkey AS other, round(sum(a.c * b.c) / max(x.norm) / max(y.norm), 6) AS cosine FROM g a JOIN g b ON a.s_nationkey = b.s_nationkey AND a.g = b.g AND a.s_suppkey < b.s_suppkey JOIN n x ON x.s_suppkey = a.s_suppkey JOIN n y ON y.s_suppkey = b.s_suppkey GROUP BY 1, 2')
 def bigram_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine of character-bigram counts between suppliers' names of one nation, by a join on bigrams."""
+    """Cosine of character-bigram counts between suppliers' names of one nation: nearly all pairs have a bigram in common, so they are made block by block."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", T.match_key(F.col("s_name")).alias("k"))
-    grams = s.select("s_suppkey", "s_nationkey", F.explode(F.transform(F.sequence(F.lit(1), F.length("k") - 1), lambda i: F.substr(F.col("k"), i, F.lit(2)))).alias("g")).groupBy("s_suppkey", "s_nationkey", "g").count()
-    norm = grams.withColumn("norm", F.sqrt(F.sum(F.col("count") * F.col("count")).over(Window.partitionBy("s_suppkey"))))
-    other = norm.select(F.col("s_suppkey").alias("other"), "s_nationkey", "g", F.col("count").alias("c2"), F.col("norm").alias("n2"))
-    return norm.join(other, ["s_nationkey", "g"]).where("s_suppkey < other").groupBy("s_suppkey", "other").agg(F.round(F.sum(F.col("count") * F.col("c2")) / F.max("norm") / F.max("n2"), 6).alias("cosine"))
+    grams = s.where(F.length("k") > 1).select("s_suppkey", "s_nationkey", F.explode(T.parts_of(F.col("k"), 2)).alias("g")).groupBy("s_suppkey", "s_nationkey", "g").count()
+    return profiles.cosines(grams, "s_suppkey", "s_nationkey", "g", "count", "other")
 
 
 _TOKENS = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|(?P<string>"(?:[^"\\]|\\.)*(?:"|\Z))|(?P<bare>[-+.\w]+)|(?P<mark>[{}\[\]:])', re.S)
